@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.sources.schemas import TABLES
@@ -15,10 +16,14 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, strict:
     A trailing separator and surplus fields are ignored. A row with too few fields raises when ``strict``; otherwise its
     missing fields are null.
     """
-    # One more field takes what a trailing separator leaves, so that FAILFAST does not reject it.
-    mode = "FAILFAST" if strict else "PERMISSIVE"
+    if strict:
+        parts = F.split("value", "\\|")
+        whole = F.when(F.size(parts) >= len(schema.fields), parts).otherwise(F.raise_error(F.lit("a row has too few fields")))
+        rows = spark.read.text(path).select(whole.alias("parts"))
+        return rows.select(*[F.nullif(F.col("parts")[i], F.lit("")).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
+    # One more field takes what a trailing separator leaves.
     wide = T.StructType([*schema.fields, T.StructField("_rest", T.StringType(), True)])
-    frame = spark.read.schema(wide).options(sep="|", dateFormat="yyyy-MM-dd", mode=mode, quote="").csv(path)
+    frame = spark.read.schema(wide).options(sep="|", dateFormat="yyyy-MM-dd", quote="").csv(path)
     return frame.select(*[f.name for f in schema.fields])
 
 
