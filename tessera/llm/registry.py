@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op10_bpe
+from tessera.llm.pii import op3_pii
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op10_bpe": op10_bpe,
 }
 
