@@ -131,3 +131,42 @@ def sub_batches(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int,
             begin, held = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+# --- labelled samples ---
+
+
+def fold_of(doc_id) -> "Column":  # noqa: F821
+    """crc32 of the id as text, modulo 5 (a null id counts as empty text)."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
+    """doc_id, text, label of at most ``size`` ids outside fold 0: those with the least hash of the id.
+
+    The ids alone are broadcast, so ``size`` bounds that. An id labelled more than once has its largest label.
+    """
+    from pyspark.sql import functions as F
+
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
+    ids = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; the last is the intercept (not shrunk but for 1e-3)."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, pull = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-3)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + pull * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(curve, slope)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
