@@ -143,8 +143,8 @@ def fold_of(doc_id) -> "Column":  # noqa: F821
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
-    """doc_id, text, label of at most ``size`` ids outside fold 0: those with the least hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, extra: tuple = ()) -> DataFrame:
+    """doc_id, text, extra columns, label of at most ``size`` ids outside fold 0: those with the least hash of the id.
 
     The ids alone are broadcast, so ``size`` bounds that. An id labelled more than once has its largest label.
     """
@@ -153,7 +153,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     ids = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     return texts.join(F.broadcast(ids), "doc_id")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.pii import op3_pii
+from tessera.llm.quality_fm import op9_quality
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
