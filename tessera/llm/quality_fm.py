@@ -40,6 +40,7 @@ def measure(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     length = np.maximum(1, table.text_ends - table.text_starts)
     of_byte = np.repeat(np.arange(n), np.append(np.diff(table.text_starts), len(table.buffer) - table.text_starts[-1]))
     by_class = np.bincount(of_byte * _N_CLASSES + _CLASSES[table.buffer], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES)
+    by_class[:-1, 6] -= 1  # the newline that the table puts between texts
     words, of_word = np.maximum(1, table.counts), np.repeat(np.arange(n), table.counts)
     hashes = table.hashes()
     shares = np.bincount(of_word * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS) / words[:, None]
