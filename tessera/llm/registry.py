@@ -5,13 +5,17 @@ from __future__ import annotations
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality_fm import op9_quality
+from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op7_quality_rules": op7_quality_rules,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": OP7_SQL,
+}
