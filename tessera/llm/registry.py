@@ -6,9 +6,11 @@ from tessera.llm.bpe import op10_bpe
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality_fm import op9_quality
 from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
+from tessera.llm.simhash import op1_simhash
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op7_quality_rules": op7_quality_rules,

@@ -1,0 +1,102 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from tessera.llm import simhash as sh
+from tessera.llm.components import component_labels
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints():
+    r = random.Random(1)
+    texts = ["", " \t\n", "a", "a b", "A b\x0bC", "É é x y z", "x\x1cy z w", "a b c a b c a b c", "w " * 9000]
+    texts += [" ".join(r.choice(["Ab", "cd", "é", "Z", "q"]) for _ in range(r.randrange(900))) for _ in range(30)]
+    for t in texts:
+        assert sh.fingerprint(t) == slow_fingerprint(t)
+
+
+@pytest.mark.parametrize("blocks", sh.BLOCKS)
+def test_every_close_pair_meets_at_the_nearest_anchor(blocks):
+    r = np.random.default_rng(blocks)
+    anchors = sh.Anchors(blocks)
+    fps = r.integers(0, 1 << 64, 60, dtype=np.uint64)
+    fps[:8] = [0, 2**64 - 1, 1, 3, 7, 15, 31, 2**63]
+    close = fps.copy()
+    for i in range(len(fps)):
+        for b in r.choice(64, r.integers(0, 4), replace=False):
+            close[i] ^= np.uint64(1 << int(b))
+    reached = [set() for _ in fps]
+    for at, place in [(anchors.nearest(fps)[0], range(len(fps))), *anchors.replicas(fps)]:
+        for a, p in zip(at.tolist(), list(place), strict=True):
+            reached[p].add(a)
+    assert all(int(a) in reached[i] for i, a in enumerate(anchors.nearest(close)[0]))
+
+
+def test_blocks_grow_with_the_table():
+    chosen = [sh.blocks_for(n) for n in (10, 10**5, 10**7, 10**9, 10**11)]
+    assert chosen == sorted(chosen) and chosen[0] < chosen[-1]
+
+
+def brute_components(values):
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    values = sorted(values)
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {v: find(v) for v in values}
+
+
+@pytest.mark.parametrize(("blocks", "cell"), [(13, 2048), (13, 5), (21, 3), (32, 2048)])
+def test_links_give_the_same_components(spark, blocks, cell):
+    r = random.Random(blocks + cell)
+    values = {r.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}
+    for _ in range(4):
+        seed = r.getrandbits(64)
+        for _ in range(60):  # groups and chains
+            values.add(seed)
+            for b in r.sample(range(64), r.randrange(1, 4)):
+                seed ^= (1 << b) if r.random() < 0.7 else 0
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    labels = {r.vertex % (1 << 64): r.label % (1 << 64) for r in component_labels(sh.near_links(fps, blocks=blocks, cell=cell)).collect()}
+    truth = brute_components(values)
+    groups, expected = {}, {}
+    for v in values:
+        groups.setdefault(labels.get(v, v), set()).add(v)
+        expected.setdefault(truth[v], set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    assert {(r.vertex, r.label) for r in component_labels(links).collect()} == {(i, 0) for i in range(301)} | {(1000, 1000), (1001, 1000)}
+    assert component_labels(links.limit(0)).count() == 0
+
+
+def test_documents(spark):
+    text = "one two three four five six seven eight nine ten " * 40
+    rows = [(7, text, "s"), (5, text, None), (5, text, None), (9, text + "x", "s"), (3, None, "s"), (2, " \n", "s"), (None, "", "s"), (None, "alone in here", "s"), (11, "other words stand in this text", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sh.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.fp): r.component_id for r in got}
+    assert {i: c for (i, _), c in by.items() if i is not None} == {7: 5, 5: 5, 9: 5, 3: 2, 2: 2, 11: 11}
+    assert sorted(str(c) for (i, _), c in by.items() if i is None) == ["2", "None"]
+    assert sh.near_duplicates(docs.limit(0)).count() == 0
