@@ -91,7 +91,8 @@ def test_long_chain(spark):
 
 
 def test_documents(spark):
-    text = "one two three four five six seven eight nine ten " * 40
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000))
     rows = [(7, text, "s"), (5, text, None), (5, text, None), (9, text + "x", "s"), (3, None, "s"), (2, " \n", "s"), (None, "", "s"), (None, "alone in here", "s"), (11, "other words stand in this text", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sh.near_duplicates(docs).collect()
