@@ -52,7 +52,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), text.alias("text"))
     words = F.filter(F.split("text", _BLANKS), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_NOT_BLANK))
-    rows = rows.withColumns({"words": words, "lines": lines, "text_key": F.xxhash64("text"), "n_symbols": F.regexp_count("text", F.lit(_SYMBOLS)).cast("long")})
+    rows = rows.withColumns({"words": words, "lines": lines, "text_key": F.xxhash64("host", "text"), "n_symbols": F.regexp_count("text", F.lit(_SYMBOLS)).cast("long")})
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     bits = F.length(F.bin("n_words")).cast("int")
     places = F.when(F.col("n_words") >= 5, F.sequence(F.lit(0), (F.col("n_words") - 5).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -87,43 +87,43 @@ def normal_line(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """host, line, text_key, least doc_id of the text, characters of the line in all copies of the text: one row for each line of each text."""
+    """line, text_key (both hashed with the host), host, least doc_id of the text, characters of the line in all copies of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), F.xxhash64(_host(docs), text).alias("text_key"), text.alias("text"))
     rows = rows.select("doc_id", "host", "text_key", F.explode(F.split("text", "\n")).alias("raw")).where(F.col("raw").rlike(_NOT_BLANK))
     rows = rows.select("host", F.xxhash64("host", normal_line(F.col("raw"))).alias("line"), "text_key", "doc_id", F.length("raw").cast("long").alias("chars"))
-    return rows.groupBy("host", "line", "text_key").agg(F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
+    return rows.groupBy("line", "text_key").agg(F.max("host").alias("host"), F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
 
 
 def frequent_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """host, line, first_id of the lines above both limits; ``sizes``: host, texts."""
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("keeper")).where(F.col("n") > MIN_TEXTS)
+    """line, keeper (least doc_id that has it) of the lines above both limits; ``sizes``: host, texts."""
+    # the sum of characters, never zero, makes this and the later use of ``lines`` read the same columns, so both share one shuffle
+    measures = [F.count(F.lit(1)).alias("n"), F.max("host").alias("host"), F.min("first_id").alias("keeper"), F.sum("chars").alias("chars")]
+    counted = lines.groupBy("line").agg(*measures).where((F.col("n") > MIN_TEXTS) & (F.col("chars") > 0))
     salted = counted.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
     spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["host", "salt"]).where(F.col("n") > SHARE * F.col("texts")).select("host", "line", "keeper")
+    return salted.join(spread, ["host", "salt"]).where(F.col("n") > SHARE * F.col("texts")).select("line", "keeper")
 
 
-def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frequent lines, and for each (host, text_key) that loses some, how many characters each copy of the text loses."""
+def _removed(docs: DataFrame) -> DataFrame:
+    """text_key, removed_chars of each text that loses lines."""
     lines = _lines(docs)
-    texts = docs.select(_host(docs).alias("host"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
-    copies = texts.groupBy("host", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    texts = docs.select(_host(docs).alias("host"), F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
+    copies = texts.groupBy("text_key").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("copies")).where(F.col("host").isNotNull() & (F.col("copies") > 0))
     sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    frequent = frequent_lines(lines, sizes)
-    spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int"))
-    lost = salted.join(spread, ["host", "line", "salt"]).where(~F.col("first_id").eqNullSafe(F.col("keeper")) | F.col("first_id").isNull())
-    sums = lost.groupBy("host", "text_key").agg(F.sum("chars").alias("chars"))
-    each = F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars")
-    return frequent, sums.join(copies, ["host", "text_key"]).select("host", "text_key", each)
+    spread = frequent_lines(lines, sizes).select(F.col("line").alias("key"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.pmod("text_key", F.lit(SALTS)).cast("int") == F.col("salt")))
+    # the host is not used here either, but see frequent_lines
+    lost = met.where((F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper"))) & F.col("host").isNotNull())
+    sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"))
+    return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, removed_chars, kept: one row per document."""
     base = base_counts(docs)
-    _, lost = _removed(docs)
-    spread = lost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["host", "text_key", "salt"], "left")
+    spread = _removed(docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["text_key", "salt"], "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     removed = F.coalesce("removed_chars", F.lit(0).cast("long"))
     return joined.select(
