@@ -7,17 +7,20 @@ from tessera.llm.pii import op3_pii
 from tessera.llm.quality_fm import op9_quality
 from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tessera.llm.simhash import op1_simhash
+from tessera.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
 }
