@@ -258,9 +258,10 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None, cell: int = CELL
     marked = cut(fingerprints(docs))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = component_labels(near_links(distinct, blocks=blocks, cell=cell))
-    of_label = labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # tables from files have no partitioning, so both sides of the last joins are shuffled for them alone and a hot label or fingerprint can be split
+    of_label = cut(labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("first_id").alias("component_id")))
     linked = labels.join(of_label, "label").select(F.col("vertex").alias("fp"), "component_id")
-    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    every = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return marked.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
