@@ -39,23 +39,23 @@ def texts_and_ids(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]
 def pack(values: np.ndarray) -> bytes:
     """Sorted unsigned values as differences, byte planes apart, so that the shuffle's compression drops the empty ones."""
     steps = np.diff(values, prepend=values[:1] * 0)
-    return steps.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return steps.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     """The values of :func:`pack`."""
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width)
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def pack_plain(values: np.ndarray) -> bytes:
     """Values in any order, byte planes apart."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unpack_plain(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, len(data) // np.dtype(kind).itemsize)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
