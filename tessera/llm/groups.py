@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shuffle_partitions
 
 #: Groups for each shuffle partition, and buckets of keys at most (more only make blocks smaller).
-GROUPS_PER_PARTITION, MOST_BUCKETS = 8, 4096
+GROUPS_PER_PARTITION, MOST_BUCKETS = 4, 4096
 
 
 def deal(docs: DataFrame) -> tuple[DataFrame, int]:
