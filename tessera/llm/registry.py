@@ -8,6 +8,7 @@ from tessera.llm.quality_fm import op9_quality
 from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tessera.llm.simhash import op1_simhash
 from tessera.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from tessera.llm.suffix_dedup import op8_suffix_dedup
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
