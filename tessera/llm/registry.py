@@ -6,6 +6,7 @@ from tessera.llm.bpe import op10_bpe
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality_fm import op9_quality
 from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
+from tessera.llm.sharding import op5_sharding
 from tessera.llm.simhash import op1_simhash
 from tessera.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from tessera.llm.suffix_dedup import op8_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
