@@ -48,18 +48,18 @@ class _Text:
 
     def common(self, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b, of which ``least`` symbols are known to agree; ``depth`` at most."""
-        low, high = least.copy(), np.full(len(a), self.depth)
-        whole = self.span(a, high) == self.span(b, high)
-        low[whole] = self.depth
-        open_ = np.flatnonzero(~whole)
-        while len(open_):
-            middle = (low[open_] + high[open_]) // 2
-            grows = middle > low[open_]
-            open_, middle = open_[grows], middle[grows]
-            same = self.span(a[open_], middle) == self.span(b[open_], middle)
-            low[open_[same]] = middle[same]
-            high[open_[~same]] = middle[~same]
-        return low
+        before_a, before_b, of_a, of_b = self.prefix[a], self.prefix[b], self.un[a], self.un[b]
+        whole = (self.prefix[a + self.depth] - before_a) * of_a == (self.prefix[b + self.depth] - before_b) * of_b
+        out = np.where(whole, self.depth, least)
+        left = np.flatnonzero(~whole)
+        a, b, before_a, before_b, of_a, of_b = a[left], b[left], before_a[left], before_b[left], of_a[left], of_b[left]
+        low, high = least[left], np.full(len(left), self.depth)  # low agrees, high does not
+        for _ in range(int(self.depth).bit_length()):
+            middle = (low + high) >> 1
+            same = (self.prefix[a + middle] - before_a) * of_a == (self.prefix[b + middle] - before_b) * of_b
+            low, high = np.where(same, middle, low), np.where(same, high, middle)
+        out[left] = low
+        return out
 
 
 def _sort_directly(text: _Text, suffixes: np.ndarray) -> np.ndarray:
@@ -80,7 +80,12 @@ def _sort_directly(text: _Text, suffixes: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(new)
         sizes = np.diff(starts, append=len(new))
         own = out[slots]
-        shared = text.common(own, np.repeat(own[starts], sizes), np.minimum(depth, text.depth))
+        depth = np.minimum(depth, text.depth)
+        # groups whose next words differ part here; only of the others it takes a search to know where they part
+        words = text.words[own + depth]
+        alike = np.repeat(np.minimum.reduceat(words, starts) == np.maximum.reduceat(words, starts), sizes)
+        shared = depth.copy()
+        shared[alike] = text.common(own[alike], np.repeat(own[starts], sizes)[alike], depth[alike])
         parting = np.repeat(np.minimum.reduceat(shared, starts), sizes)
         open_ = parting < text.depth
         if not open_.any():
@@ -96,11 +101,20 @@ def _sort_directly(text: _Text, suffixes: np.ndarray) -> np.ndarray:
         depth = depth + _SYMBOLS_IN_WORD
 
 
-def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, _Text]:
-    """All suffixes of the symbols (0 to 256) in the order of their first ``depth`` symbols."""
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, _Text]:
+    """Suffixes of the symbols (0 to 256) in the order of their first ``depth`` symbols: all, or the wanted ones (a mask).
+
+    To place a wanted A suffix its successors up to the next B suffix are needed, so those are placed and returned too; others are not.
+    """
     text = _Text(t, depth)
     smaller = is_smaller_than_next(t)
-    direct = _sort_directly(text, np.flatnonzero(smaller))
+    placing = np.ones(len(t), dtype=bool)
+    if wanted is not None:
+        # a place is needed if it is wanted, or if a wanted one lies before it with no B suffix from there up to just before it
+        last_wanted = np.maximum.accumulate(np.where(wanted, np.arange(len(t)), -1))
+        last_smaller = np.maximum.accumulate(np.where(smaller, np.arange(len(t)), -1))
+        placing = wanted | ((last_wanted >= 0) & (np.concatenate([[-1], last_smaller[:-1]]) < last_wanted))
+    direct = _sort_directly(text, np.flatnonzero(smaller & placing))
     symbol = t[direct]
     bounds = np.searchsorted(symbol, np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -110,7 +124,7 @@ def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, _Text]:
         """Hands the A suffixes before some placed ones to their buckets; returns those of this bucket."""
         before = found - 1
         before = before[before >= 0]
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & placing[before]]
         first = t[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -124,7 +138,7 @@ def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, _Text]:
         return here
 
     last = len(t) - 1  # its successor is the empty suffix, which stands before all
-    if last >= 0:
+    if last >= 0 and placing[last]:
         waiting[t[last]].append(np.array([last]))
     for bucket in range(257):
         current = np.concatenate(waiting[bucket]) if waiting[bucket] else direct[:0]
@@ -145,13 +159,13 @@ def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
     t = raw.astype(np.int16) + 1
     t[starts + sizes] = 0
-    order, text = suffix_array(t, window)
     whole = np.zeros(len(t) + 1, dtype=np.int64)
     for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         if n >= window:
             whole[a] += 1
             whole[a + n - window + 1] -= 1
     whole = np.cumsum(whole)[:-1] > 0
+    order, text = suffix_array(t, window, whole)
     order = order[whole[order]]
     repeated = np.zeros(len(t), dtype=bool)
     if len(order) > 1:

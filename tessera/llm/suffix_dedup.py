@@ -30,7 +30,7 @@ from tessera.llm.common import _BYTE_CODE, mix, powers, prefix_hash, read_table,
 from tessera.llm.groups import deal, found_in, pack_plain, texts_and_ids, unpack_plain
 from tessera.llm.suffix_array import repeated_windows
 
-WINDOW, GRAM = 400, 64
+WINDOW, GRAM = 400, 128
 #: Contents of one anchor that go to one suffix array at most, and bytes of text that it is made of (whole anchors, so a little more).
 HOT, BATCH = 1024, 1 << 20
 _PLACE = np.uint64((1 << 27) - 1)

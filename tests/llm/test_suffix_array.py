@@ -18,6 +18,11 @@ def test_order_of_suffixes(letters):
         assert sorted(order.tolist()) == list(range(n))
         suffixes = [text[i:][:depth] for i in order]
         assert suffixes == sorted(suffixes)
+        wanted = np.array([r.random() < 0.3 for _ in text])
+        some, _ = sa.suffix_array(np.array(text, dtype=np.int16), depth, wanted)
+        assert len(set(some.tolist())) == len(some) and set(np.flatnonzero(wanted).tolist()) <= set(some.tolist())
+        suffixes = [text[i:][:depth] for i in some]
+        assert suffixes == sorted(suffixes)
 
 
 def test_types():
