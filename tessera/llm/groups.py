@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_partitions
 
-#: Groups for each shuffle partition, and buckets of keys at most (more only make blocks smaller).
+#: Groups for each shuffle partition (half as many buckets of keys as partitions), and buckets at most: more only make blocks smaller.
 GROUPS_PER_PARTITION, MOST_BUCKETS = 4, 4096
 
 
@@ -25,7 +25,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * GROUPS_PER_PARTITION)).cast("int")
-    return rows.select(group.alias("g"), "doc_id", "text").repartition(parts, "g"), min(parts, MOST_BUCKETS)
+    return rows.select(group.alias("g"), "doc_id", "text").repartition(parts, "g"), max(1, min(parts // 2, MOST_BUCKETS))
 
 
 def texts_and_ids(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
