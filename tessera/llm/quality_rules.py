@@ -90,7 +90,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """line, text_key (both hashed with the host), host, least doc_id of the text, characters of the line in all copies of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), F.xxhash64(_host(docs), text).alias("text_key"), text.alias("text"))
-    rows = rows.select("doc_id", "host", "text_key", F.explode(F.split("text", "\n")).alias("raw")).where(F.col("raw").rlike(_NOT_BLANK))
+    rows = rows.select("doc_id", "host", "text_key", F.explode_outer(F.split("text", "\n")).alias("raw")).where(F.col("raw").rlike(_NOT_BLANK))
     rows = rows.select("host", F.xxhash64("host", normal_line(F.col("raw"))).alias("line"), "text_key", "doc_id", F.length("raw").cast("long").alias("chars"))
     return rows.groupBy("line", "text_key").agg(F.max("host").alias("host"), F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
 

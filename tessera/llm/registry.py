@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op10_bpe
+from tessera.llm.decontaminate import op2_decontaminate
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality_fm import op9_quality
 from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -14,6 +15,7 @@ from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
