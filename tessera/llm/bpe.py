@@ -237,26 +237,30 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(work, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text: encoding and decoding in one pass, ids never leaving the worker."""
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text, from one pass of encoding and decoding; with the ids too if asked for."""
     definition = _definition(docs.sparkSession, path or vocabulary_path())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
+    def one(encoder: StreamingEncoder, text: str) -> tuple[bytes, str, str, int]:
+        packed, digest = encoder.encode(text), hashlib.sha256()
+        for piece in decode(encoder.merges, packed):
+            digest.update(piece.encode())
+        return packed if with_ids else b"", hashlib.sha256(packed).hexdigest(), digest.hexdigest(), len(packed) // 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for text in texts_of(batch.column(1)):
-                packed = encoder.encode(text)
-                digest = hashlib.sha256()
-                for piece in decode(encoder.merges, packed):
-                    digest.update(piece.encode())
-                counts.append(len(packed) // 4)
-                of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_text.append(digest.hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                packed, of_ids, of_text, counts = zip(*(one(encoder, t) for t in texts_of(batch.column(1))), strict=True)
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                if with_ids:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 

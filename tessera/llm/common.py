@@ -33,6 +33,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def small_side(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The same rows, from files, marked for broadcast only if there are at most ``rows`` of them (narrow rows are meant); else joins shuffle them."""
+    from pyspark.sql import functions as F
+
+    frame = cut(frame)
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import read_table, small_side
 
 WINDOW, LITERALS, SIMILARITY, LEAST_HITS = 5, 3, 0.8, 3
 BROADCAST_ROWS = 1_000_000
@@ -116,7 +116,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows and columns of the documents in which no item was found."""
-    leaks = find_leaks(docs, items).select(F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_key")).distinct()
+    leaks = small_side(find_leaks(docs, items).select(F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_key")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("leaked_key"))
     return docs.join(leaks, same, "left_anti")
 

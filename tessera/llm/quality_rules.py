@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import read_table, small_side
 
 MIN_TEXTS, SHARE, DEPLETED = 20, 0.1, 0.7
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -43,13 +43,13 @@ def _repeated(keys: Column, bits: Column) -> Column:
     return F.filter(keys, twice)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text key and the base counts of every document.
+def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, host, text key and the base counts of every document, and if ``whole`` its row as the struct ``row`` and a number ``nth``.
 
     Repeated windows are found by sorting one array of 64-bit keys in each row, so a long text costs n log n and nothing is exploded.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), text.alias("text"), *[F.struct(*docs.columns).alias("row")] * whole)
     words = F.filter(F.split("text", _BLANKS), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_NOT_BLANK))
     rows = rows.withColumns({"words": words, "lines": lines, "text_key": F.xxhash64("host", "text"), "n_symbols": F.regexp_count("text", F.lit(_SYMBOLS)).cast("long")})
@@ -74,6 +74,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.aggregate(F.transform("lines", lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("line_chars"),
+        *["row", F.monotonically_increasing_id().alias("nth")] * whole,
     )
 
 
@@ -119,19 +120,34 @@ def _removed(docs: DataFrame) -> DataFrame:
     return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
+def _kept(removed: Column) -> Column:
+    return ~_failed() & ~(removed > DEPLETED * F.col("line_chars"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, removed_chars, kept: one row per document."""
-    base = base_counts(docs)
     spread = _removed(docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["text_key", "salt"], "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    joined = base_counts(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["text_key", "salt"], "left")
     removed = F.coalesce("removed_chars", F.lit(0).cast("long"))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & ~(removed > DEPLETED * F.col("line_chars"))).alias("kept"), removed.alias("removed_chars"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
+        _kept(removed).alias("kept"), removed.alias("removed_chars"),
     )
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows and columns of the documents that are kept. Texts are not shuffled unless very many texts lose lines."""
+    removed = small_side(_removed(docs))
+    joined = base_counts(docs, whole=True).join(removed, "text_key", "left")
+    # the condition on ``nth``, always true, keeps the filter above the projections that compute the counts: below them it would
+    # have their expressions in place of columns, and arrays would be computed again for each of their elements
+    return joined.where((F.col("nth") >= 0) & _kept(F.coalesce("removed_chars", F.lit(0).cast("long")))).select("row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
     return judge(read_table(spark, sf_dir, "documents")).drop("removed_chars")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read_table, texts_of
+from tessera.llm.common import cut, read_table, small_side, texts_of
 from tessera.llm.components import component_labels
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -265,6 +265,21 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None, cell: int = CELL
     return marked.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows and columns of the documents with the least doc_id of their component; of rows with that id, one.
+
+    Rows without an id cannot be told apart by it and stay.
+    """
+    found = cut(near_duplicates(docs).select("doc_id", "component_id"))
+    dropped = small_side(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = small_side(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    ones = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(ones.select(*docs.columns))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
