@@ -116,9 +116,10 @@ _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|punkt|point)"
 _ARTICLE = r"(?:the|an?|this|that|my|our|your|his|her|its|their|some|one|el|la|le|les|los|las)"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 
-#: One disguise each; a spelled ``at`` without brackets counts only where a spelled ``dot`` follows the next word, and a spelled ``dot`` only in such a place or between digit names.
+#: One disguise each. Ignoring case makes ``mixed`` match o, i and L too, which stay as they are. A spelled ``at`` without brackets counts only where a spelled ``dot`` follows the next word, and a spelled ``dot`` only in an address, or between digits or their names.
 _DISGUISE = re.compile(
-    rf"(?P<digits>\b(?:plus )?{_NAME}(?:(?:[ -]| {_DOT} ){_NAME}){{3,}}\b)"
+    rf"(?P<digits>\b(?:plus )?{_NAME}(?:(?:[ ,-]{{1,2}}| {_DOT} ){_NAME}){{3,}}\b)"
+    rf"|(?P<mixed>(?<![A-Za-z0-9])(?:[OIl]+[0-9]|[0-9]+[OIl])[0-9OIl]*(?![A-Za-z0-9]))"
     rf"|(?P<at>\s?{_OPEN}\s?(?:{_AT}|@)\s?{_CLOSE}\s?)"
     rf"|(?P<dot>\s?{_OPEN}\s?(?:{_DOT}|\.)\s?{_CLOSE}\s?)"
     rf"|(?P<plain>\b {_AT} (?!{_ARTICLE} )(?=[a-z0-9-]+ {_DOT} [a-z])[a-z0-9-]+(?: {_DOT} [a-z0-9-]+)+)"
@@ -127,7 +128,10 @@ _DISGUISE = re.compile(
     rf"|(?P<none>[{INVISIBLE}])",
     re.IGNORECASE,
 )
-_DIGIT_PART = re.compile(rf" {_DOT} |{_NAME}|plus |[ -]", re.IGNORECASE)
+#: Letters that stand for digits among digits.
+_DIGIT_LIKE = {"O": "0", "I": "1", "l": "1"}
+_MIXED = re.compile(r"[0-9][OIl]|[OIl][0-9]")
+_DIGIT_PART = re.compile(rf" {_DOT} |{_NAME}|plus |[ ,-]", re.IGNORECASE)
 _PLAIN_PART = re.compile(rf" {_AT} | {_DOT} ", re.IGNORECASE)
 _IS_AT = re.compile(_AT, re.IGNORECASE)
 _LOOK = re.compile(rf"[{re.escape(''.join(LOOKALIKES))}{INVISIBLE}]")
@@ -139,10 +143,12 @@ def rewritable(text: str) -> bool:
     """Whether the transducer can rewrite anything at all; much cheaper than running it."""
     if not text.isascii() and _LOOK.search(text):
         return True
+    if _MIXED.search(text):
+        return True
     low = text.lower()
     if any(d in low for d in _SPELLED_DOTS) or _BRACKET.search(low):
         return True
-    return b"\1\1\1" in bytes(map(_DIGIT_OF.__contains__, low.replace("-", " ").split()))
+    return b"\1\1\1" in bytes(map(_DIGIT_OF.__contains__, low.replace("-", " ").replace(",", " ").split()))
 
 
 class Written:
@@ -156,11 +162,14 @@ class Written:
         copied, mailed = 0, -1
         for m in _DISGUISE.finditer(source):
             kind = m.lastgroup
-            if kind == "after" and mailed != m.start() and "@" not in source[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]:
-                continue  # a spelled dot continues an address only
+            if kind == "after" and mailed != m.start() and not self._continues(source, m.start(), m.end()):
+                continue
             self._put(source[copied : m.start()], copied, m.start(), True)
             if kind == "look":
                 self._put(LOOKALIKES[m[0]], m.start(), m.end(), False)
+            elif kind == "mixed":
+                for i, c in enumerate(m[0], m.start()):
+                    self._put(_DIGIT_LIKE.get(c, c), i, i + 1, False)
             elif kind in ("at", "dot", "after"):
                 self._put("@" if kind == "at" else ".", m.start(), m.end(), False)
             elif kind in ("digits", "plain"):
@@ -175,13 +184,19 @@ class Written:
         self._put(source[copied:], copied, len(source), True)
         self.text = "".join(self.pieces)
 
+    @staticmethod
+    def _continues(source: str, start: int, end: int) -> bool:
+        """Whether a spelled dot stands in an address: behind a word with an ``@``, or between digits."""
+        before = source[max(0, start - 64) : start].rpartition(" ")[2]
+        return "@" in before or (before[-1:].isdigit() and source[end : end + 1].isdigit())
+
     @staticmethod
     def _part(part: str) -> str:
         if part in _DIGIT_OF:
             return _DIGIT_OF[part]
         if part == "plus ":
             return "+"
-        if part in (" ", "-"):
+        if part in (" ", ",", "-"):
             return ""
         return "@" if _IS_AT.fullmatch(part.strip()) else "."
 

@@ -53,6 +53,12 @@ def test_linear_on_long_runs():
         ("call plus one five five five one two three four five six seven today", "phone", "plus one five five five one two three four five six seven"),
         ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
         ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 192 dot 168 dot 1 dot 17 up", "ip", "192 dot 168 dot 1 dot 17"),
+        ("call +1 three four eight five five five 9642 now", "phone", "+1 three four eight five five five 9642"),
+        ("call +1 (348) 555-96O2 now", "phone", "+1 (348) 555-96O2"),
+        ("card 4l11 1111 1111 1I11 ok", "card", "4l11 1111 1111 1I11"),
+        ("call plus one, three, four, eight, five, five, five, nine, six, four, two", "phone", "plus one, three, four, eight, five, five, five, nine, six, four, two"),
+        ("write JANE AT EXAMPLE DOT COM", "email", "JANE AT EXAMPLE DOT COM"),
         ("full ４１１１ １１１１ １１１１ １１１１ width", "card", "４１１１ １１１１ １１１１ １１１１"),
     ],
 )
