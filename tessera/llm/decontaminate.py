@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, small_side
+from tessera.llm.common import cut, read_table, small_side
 
 WINDOW, LITERALS, SIMILARITY, LEAST_HITS = 5, 3, 0.8, 3
 BROADCAST_ROWS = 1_000_000
@@ -91,7 +91,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     of_items = _exploded(keyed, ["item_key", "item_id"]).union(inside.withColumn("place", F.lit(0))).distinct()
     of_items = of_items.select("item_key", "item_id", "hash", F.col("place").alias("at"), F.col("first").alias("own_first"), F.col("last").alias("own_last"))
     totals = of_items.groupBy("item_key").agg(F.count_distinct("at").alias("n_windows"))
-    of_items = of_items.join(totals, "item_key")
+    of_items = cut(of_items.join(totals, "item_key"))
     hashes = of_items.select("hash").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumns({"row": F.monotonically_increasing_id(), "text_key": F.xxhash64(F.col("text").cast("string"))})
     of_docs = _exploded(rows, ["row", "doc_id", "text_key"])
