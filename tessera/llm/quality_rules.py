@@ -23,7 +23,7 @@ from tessera.llm.common import read_table, small_side
 
 MIN_TEXTS, SHARE, DEPLETED = 20, 0.1, 0.7
 MIN_WORDS, MAX_REPEATED = 10, 20
-SALTS = 16
+SALTS = 16  # a power of two
 _BLANKS = r"[\x20\x09-\x0D]+"
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
@@ -98,11 +98,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """line, keeper (least doc_id that has it) of the lines above both limits; ``sizes``: host, texts."""
-    # the sum of characters, never zero, makes this and the later use of ``lines`` read the same columns, so both share one shuffle
+    # salts by bits, not by a remainder (which might be null, and so would be filtered below the sums on one side only), and
+    # the sum of characters, never zero, make this and the later use of ``lines`` read the same rows and columns, so both share one shuffle
     measures = [F.count(F.lit(1)).alias("n"), F.max("host").alias("host"), F.min("first_id").alias("keeper"), F.sum("chars").alias("chars")]
     counted = lines.groupBy("line").agg(*measures).where((F.col("n") > MIN_TEXTS) & (F.col("chars") > 0))
-    salted = counted.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
-    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = counted.withColumn("salt", F.col("line").bitwiseAND(F.lit(SALTS - 1)))
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, ["host", "salt"]).where(F.col("n") > SHARE * F.col("texts")).select("line", "keeper")
 
 
@@ -112,8 +113,8 @@ def _removed(docs: DataFrame) -> DataFrame:
     texts = docs.select(_host(docs).alias("host"), F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
     copies = texts.groupBy("text_key").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("copies")).where(F.col("host").isNotNull() & (F.col("copies") > 0))
     sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    spread = frequent_lines(lines, sizes).select(F.col("line").alias("key"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.pmod("text_key", F.lit(SALTS)).cast("int") == F.col("salt")))
+    spread = frequent_lines(lines, sizes).select(F.col("line").alias("key"), "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.col("text_key").bitwiseAND(F.lit(SALTS - 1)) == F.col("salt")))
     # the host is not used here either, but see frequent_lines
     lost = met.where((F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper"))) & F.col("host").isNotNull())
     sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"))
