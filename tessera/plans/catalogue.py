@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import all_of, any_of, cast_to, constant, date_shift, epoch_day, in_list, int_div, like_tokens, not_like_tokens, with_constant
 from tessera.operators import aggregate, equi_join, filter_keep, limit, project, scan, top
-from tessera.sources import load
+from tessera.sources import as_lines, checked, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -366,3 +366,22 @@ def r_join_self(spark: SparkSession, directory: str) -> DataFrame:
 @_query("select count(*) as n from (select * from orders limit 100) t")
 def r_limit(spark: SparkSession, directory: str) -> DataFrame:
     return aggregate(limit(load(spark, directory, "orders"), 100), [], {"n": ("count",)})
+
+
+@_query("select cast(n_nationkey as varchar) || ',' || n_name || ',' || cast(n_regionkey as varchar) as value from nation")
+def r_print(spark: SparkSession, directory: str) -> DataFrame:
+    return as_lines(scan(load(spark, directory, "nation"), ["n_nationkey", "n_name", "n_regionkey"]))
+
+
+@_query("select p_partkey, cast(p_size as smallint) as small, cast(p_partkey as bigint) as wide, cast(p_retailprice as float) as single from part")
+def r_types(spark: SparkSession, directory: str) -> DataFrame:
+    out = {"small": checked(F.col("p_size"), "UI1"), "wide": checked(F.col("p_partkey"), "UI4"), "single": checked(F.col("p_retailprice"), "F4")}
+    return project(load(spark, directory, "part"), out, ["p_partkey"])
+
+
+@_query("select n_name, count(*) as n from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey where r_name in ('ASIA', 'EUROPE') group by n_name")
+def r_join_chain(spark: SparkSession, directory: str) -> DataFrame:
+    regions = filter_keep(load(spark, directory, "region"), in_list(F.col("r_name"), ["ASIA", "EUROPE"]), ["r_regionkey"])
+    nations = equi_join(regions, load(spark, directory, "nation"), ["r_regionkey"], ["n_regionkey"]).select("n_nationkey", "n_name")
+    customers = scan(load(spark, directory, "customer"), ["c_nationkey"])
+    return aggregate(equi_join(nations, customers, ["n_nationkey"], ["c_nationkey"]), ["n_name"], {"n": ("count",)})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.cli import Runner
 from tessera.operators import aggregate
-from tessera.sources import TABLES, format_rows, load, load_schema, missing_columns, read_delimited, write_text
+from tessera.sources import COLUMN_TYPES, TABLES, checked, struct_of, format_rows, load, load_schema, missing_columns, read_delimited, write_text
 from tessera.streaming import drain, stream_table
 
 
@@ -64,3 +64,14 @@ def test_stream_matches_batch(spark, tmp_path):
     drain(stream_table(spark, str(tmp_path / "in"), 2).where(F.col("id") >= 10), str(tmp_path / "out"), str(tmp_path / "mark"))
     got = aggregate(spark.read.parquet(str(tmp_path / "out")), ["k"], {"n": ("count",)})
     assert sorted(got.collect()) == sorted(aggregate(frame.where(F.col("id") >= 10), ["k"], {"n": ("count",)}).collect())
+
+
+def test_declared_types(spark):
+    assert [f.dataType.simpleString() for f in struct_of({"a": "UI2", "b": "UI8", "c": "Date"}).fields] == ["int", "decimal(20,0)", "date"]
+    frame = spark.createDataFrame([("0",), ("255",), (None,)], "v string")
+    for kind in ("I2", "I4", "I8", "UI1", "UI2", "UI4", "UI8", "F4", "F8"):
+        rows = frame.select(checked(F.col("v"), kind).alias("v"))
+        assert rows.schema["v"].dataType == COLUMN_TYPES[kind] and [None if r.v is None else int(r.v) for r in rows.collect()] == [0, 255, None]
+    for value, kind in (("256", "UI1"), ("-1", "UI4"), ("18446744073709551616", "UI8"), ("ab", "Char")):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.createDataFrame([(value,)], "v string").select(checked(F.col("v"), kind)).collect()
