@@ -18,6 +18,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ class StreamingEncoder:
     ``cache_size`` bounds the memory of pre-tokens seen; it holds whole pre-tokens of up to 64 characters only.
     """
 
-    def __init__(self, merges: Merges, cache_size: int = 400_000, block: int = 512) -> None:
+    def __init__(self, merges: Merges, cache_size: int = 200_000, block: int = 512) -> None:
         self.merges, self.ahead = merges, lookahead(merges)
         self.window = self.ahead + block
         self.cache = _Cache(self, cache_size)
@@ -134,6 +135,9 @@ class StreamingEncoder:
 
     def pre_token(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
+        if len(data) <= self.window:  # as :meth:`transduce` does with what one window holds
+            tokens = self._merge(data)
+            return pack(f"<{len(tokens)}I", *tokens)
         step = self.window
         chunks = (data[i : i + step] for i in range(0, len(data), step))
         return np.fromiter(self.transduce(chunks), dtype="<u4").tobytes()
@@ -153,16 +157,20 @@ class StreamingEncoder:
 
 
 class _Cache(dict):
-    """Pre-token -> packed ids; emptied when it is full, so its size is bounded."""
+    """Pre-token -> packed ids in two generations of bounded size: when the young one is full it becomes the old one, whose entries come back as they are met."""
 
     def __init__(self, encoder: StreamingEncoder, size: int) -> None:
         super().__init__()
-        self.encoder, self.size = encoder, size
+        self.encoder, self.size = encoder, size // 2
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.encoder.pre_token(piece)
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = self.encoder.pre_token(piece)
         if len(piece) <= 64:
             if len(self) >= self.size:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

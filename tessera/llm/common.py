@@ -45,9 +45,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Texts of an Arrow column; null is the empty text."""
-    return [t or "" for t in column.to_pylist()]
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
+    """Texts of an Arrow column, some hundreds at a time in Python's memory; null is the empty text."""
+    for start in range(0, len(column), 256):
+        for text in column.slice(start, 256).to_pylist():
+            yield text or ""
 
 
 # --- word tables: words of many texts at once, in numpy ---
