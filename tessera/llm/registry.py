@@ -10,7 +10,7 @@ from tessera.llm.quality_rules import OP7_SQL, op7_quality_rules
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.simhash import op1_simhash
 from tessera.llm.substring_dedup import OP6_SQL, op6_substring_dedup
-from tessera.llm.suffix_dedup import op8_suffix_dedup
+from tessera.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 from tessera.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
 }

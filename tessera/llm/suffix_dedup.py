@@ -319,3 +319,20 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
     found = remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows for an SQL engine (ids unique and not null).
+OP8_SQL = """
+with docs as (select doc_id, encode(coalesce(text, '')) as b from documents),
+  strings as (select doc_id, i, md5(array_slice(b, i, i + 399)) as h from (select doc_id, b, unnest(generate_series(1, octet_length(b) - 399)) as i from docs)),
+  repeated as (select doc_id, i from (select doc_id, i, count(*) over (partition by h) as n from strings) where n > 1),
+  marked as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 400 then 0 else 1 end as new from repeated),
+  runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from marked),
+  spans as (select doc_id, run, min(i) as a, max(i) + 399 as z from runs group by doc_id, run),
+  ends as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from spans
+    union all select doc_id, octet_length(b) + 1, null, coalesce((select max(z) from spans s where s.doc_id = d.doc_id), 0) from docs d),
+  kept as (select e.doc_id, sha256(unhex(coalesce(string_agg(case when a - 1 > before then hex(array_slice(b, before + 1, a - 1)) else '' end, '' order by a), ''))) as kept_sha256
+    from ends e join docs using (doc_id) group by e.doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, kept_sha256
+from docs join kept using (doc_id) left join (select doc_id, sum(z - a + 1) as n_removed, count(*) as n_spans from spans group by doc_id) using (doc_id)
+"""
