@@ -209,9 +209,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt, buckets = deal(docs)
     by_group = dealt.groupBy("g")
     asked = by_group.applyInArrow(_ask_blocks(buckets), _ASKED_DDL)
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "kind", "g").mapInArrow(_answer_blocks, _ASKED_DDL)
+    answers = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "g").mapInArrow(_answer_blocks, _ASKED_DDL)
     windows = by_group.cogroup(answers.groupBy("g")).applyInArrow(_ask_windows(buckets), _ASKED_DDL)
-    lost = windows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer_windows, _ASKED_DDL)
+    lost = windows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer_windows, _ASKED_DDL)
     return by_group.cogroup(lost.groupBy("g")).applyInArrow(_remove(buckets), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -309,7 +309,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     dealt, buckets = deal(docs)
     by_group = dealt.groupBy("g")
     asked = by_group.applyInArrow(_ask(window, gram, buckets), _ASKED_DDL)
-    told = asked.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer(hot), _TOLD_DDL)
+    told = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer(hot), _TOLD_DDL)
     sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_send(window, gram, buckets), _MOVED_DDL)
     found = sent.repartition("kind", "key").sortWithinPartitions("kind", "key", "g").mapInArrow(_sort(window), _MOVED_DDL)
     return by_group.cogroup(found.groupBy("g")).applyInArrow(_remove(window, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
