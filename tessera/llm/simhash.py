@@ -13,7 +13,7 @@ takes the cheapest for the number of distinct fingerprints. Only speed depends o
 
 Skew. Equal fingerprints are one entry, whatever the number of documents. An anchor with more than ``CELL`` probes is split into a
 grid of cells, each with a part of its probes and a part of its index; in a cell, index entries stream past the probes in sorted
-order. Of a group of near copies only a forest of links leaves a cell, never its pairs. Components are then joined across anchors.
+order. Of a group of near copies only a tree of links of few branches leaves a cell, never its pairs. Components are then joined across anchors.
 
 A null or blank text has fingerprint zero and links like any other. A null doc_id counts as no id: such a row has its component's
 least id (null if there is none). Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read_table, small_side, texts_of
+from tessera.llm.common import cut, mix, read_table, small_side, texts_of
 from tessera.llm.components import component_labels
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
-#: Probes in a cell at most, on average; entries compared at once.
-CELL, TILE = 2048, 1 << 20
+#: Probes in a cell at most, on average; entries compared at once; branches of a group's tree of links.
+CELL, TILE, FAN = 2048, 1 << 20, 8
 #: Numbers of blocks to choose from, and the costs of one replica and of one comparison (ns).
 BLOCKS, REPLICA_COST, COMPARE_COST = (13, 16, 21, 32), 300.0, 2.0
 
@@ -172,27 +172,39 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Cell:
-    """Probes of one cell, grouped once they are all there; index entries then stream past them."""
+    """Probes of one cell, grouped once they are all there; index entries then stream past them.
+
+    Links leave a cell as a tree over each group of linked probes, and from an index entry to one member of each group that it meets,
+    taken by a hash. So no vertex gets many links from one cell, however large the group.
+    """
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
         self.probes: np.ndarray | None = None
 
     def grouped(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Sets ``probes`` and their ``roots``; yields the links of a forest that spans each group of linked probes."""
-        self.probes = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint64)
-        self.roots = self.probes.copy()
-        left = np.arange(len(self.probes))
+        """Sorts the probes into groups; yields the links of a tree over each."""
+        every = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint64)
+        groups: list[np.ndarray] = []
+        left = np.arange(len(every))
         while len(left):
-            root, front, left = self.probes[left[0]], left[:1], left[1:]
+            front, left = left[:1], left[1:]
+            group = [front]
             while len(front) and len(left):
                 step, met = max(1, TILE // len(left)), np.zeros(len(left), dtype=bool)
                 for i in range(0, len(front), step):
-                    met |= _near(self.probes[front[i : i + step]], self.probes[left]).any(axis=0)
+                    met |= _near(every[front[i : i + step]], every[left]).any(axis=0)
                 front, left = left[met], left[~met]
-                self.roots[front] = root
-                if len(front):
-                    yield self.probes[front], np.full(len(front), root)
+                group.append(front)
+            groups.append(every[np.concatenate(group)])
+        self.probes = np.concatenate(groups) if groups else every  # group by group
+        sizes = np.array([len(g) for g in groups], dtype=np.int64)
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+        self.group = np.repeat(np.arange(len(groups)), sizes)
+        nth = np.arange(len(self.probes)) - self.begins[self.group]
+        inner = np.flatnonzero(nth)
+        if len(inner):
+            yield self.probes[inner], self.probes[self.begins[self.group[inner]] + (nth[inner] - 1) // FAN]
 
     def passed(self, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links of index entries, one for each group of probes that an entry meets."""
@@ -204,9 +216,11 @@ class _Cell:
             for i in range(0, len(self.probes), step):
                 p, y = np.nonzero(_near(self.probes[i : i + step], part))
                 if len(p):
-                    met = np.unique(np.column_stack([part[y], self.roots[i + p]]), axis=0)
-                    met = met[met[:, 0] != met[:, 1]]
-                    yield met[:, 0], met[:, 1]
+                    y, group = np.unique(np.column_stack([y, self.group[i + p]]), axis=0).T
+                    own = part[y]
+                    member = (mix(own) % self.sizes[group].astype(np.uint64)).astype(np.int64)
+                    other = self.probes[self.begins[group] + member]
+                    yield own[own != other], other[own != other]
 
 
 def _compare(cells: DataFrame) -> DataFrame:
@@ -244,7 +258,7 @@ def _compare(cells: DataFrame) -> DataFrame:
 
 
 def near_links(fps: DataFrame, n: int | None = None, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """a, b: links that connect all distinct fingerprints within the threshold of each other (a forest in each cell, not all pairs)."""
+    """a, b: pairs within one component, enough to connect all distinct fingerprints within the threshold of each other (trees in each cell, not all pairs)."""
     blocks = blocks or blocks_for(fps.count() if n is None else n)
     counts = _nearest(fps, blocks).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
     hot = counts.select("anchor", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("parts"))
