@@ -32,7 +32,7 @@ from tessera.llm.suffix_array import repeated_windows
 
 WINDOW, GRAM = 400, 128
 #: Contents of one anchor that go to one suffix array at most, and bytes of text that it is made of (whole anchors, so a little more).
-HOT, BATCH = 1024, 1 << 20
+HOT, BATCH = 256, 1 << 20
 _PLACE = np.uint64((1 << 27) - 1)
 
 
