@@ -1,6 +1,6 @@
 """Groups of documents that ask questions by key and get answers: the frame of the exact-repeat operators.
 
-Documents are dealt into groups by a hash of id and text, once; every phase reads that one shuffle again. A group asks about
+Documents are dealt into groups by a hash of id, text and input partition, once; every phase reads that one shuffle again. A group asks about
 each key once, however many of its documents have it, in blocks of packed keys: one row for each group and bucket of keys. A
 bucket's task sees all groups' blocks in sorted order and sends answers back by group. So a key that a third of all documents have
 costs one entry for each group, and no task holds more than its bucket's keys or one group's documents.
@@ -24,7 +24,8 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * GROUPS_PER_PARTITION)).cast("int")
+    # the input partition is hashed too, so that a row which is repeated very often is dealt to many groups
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts * GROUPS_PER_PARTITION)).cast("int")
     return rows.select(group.alias("g"), "doc_id", "text").repartition(parts, "g"), max(1, min(parts // 2, MOST_BUCKETS))
 
 
