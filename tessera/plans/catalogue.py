@@ -249,11 +249,12 @@ def r_cast(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @_query("""
-select o_orderkey, cast(o_orderdate as date) as d, cast(cast(o_orderdate as date) - date '1970-01-01' as int) as e,
-  cast(cast(o_orderdate as date) - interval 90 day as date) as earlier from orders""")
+select o_orderkey, cast(cast(o_orderdate as date) as varchar) as d, cast(cast(o_orderdate as date) - date '1970-01-01' as int) as e,
+  cast(cast(cast(o_orderdate as date) - interval 90 day as date) as varchar) as earlier from orders""")
 def r_dates(spark: SparkSession, directory: str) -> DataFrame:
     day = F.col("o_orderdate")
-    return project(load(spark, directory, "orders"), {"d": day.cast("date"), "e": epoch_day(day), "earlier": date_shift(day, -90)}, ["o_orderkey"])
+    out = {"d": day.cast("date").cast("string"), "e": epoch_day(day), "earlier": date_shift(day, -90).cast("string")}
+    return project(load(spark, directory, "orders"), out, ["o_orderkey"])
 
 
 @_query("select n_nationkey, 7 as seven, 'x' as letter from nation")
@@ -343,10 +344,11 @@ def r_join_left_semi(spark: SparkSession, directory: str) -> DataFrame:
     return equi_join(load(spark, directory, "customer"), dear, ["c_custkey"], ["o_custkey"], "left_semi").select("c_custkey", "c_name")
 
 
-@_query("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 490000")
+@_query("select c_custkey, coalesce(o_orderkey, -1) as o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 490000")
 def r_join_left_outer(spark: SparkSession, directory: str) -> DataFrame:
     dear = filter_keep(load(spark, directory, "orders"), F.col("o_totalprice") > 490000, ["o_orderkey", "o_custkey"])
-    return equi_join(load(spark, directory, "customer"), dear, ["c_custkey"], ["o_custkey"], "left_outer").select("c_custkey", "o_orderkey")
+    joined = equi_join(load(spark, directory, "customer"), dear, ["c_custkey"], ["o_custkey"], "left_outer")
+    return joined.select("c_custkey", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"))
 
 
 @_query("select s_suppkey, c_custkey from supplier join customer on s_nationkey = c_nationkey and c_acctbal > s_acctbal")
