@@ -124,7 +124,7 @@ _DISGUISE = re.compile(
     rf"|(?P<dot>\s?{_OPEN}\s?(?:{_DOT}|\.)\s?{_CLOSE}\s?)"
     rf"|(?P<plain>\b {_AT} (?!{_ARTICLE} )(?=[a-z0-9-]+ {_DOT} [a-z])[a-z0-9-]+(?: {_DOT} [a-z0-9-]+)+)"
     rf"|(?P<after>(?<=[a-z0-9]) {_DOT} (?=[a-z0-9-]+\b))"
-    rf"|(?P<look>[{re.escape(''.join(LOOKALIKES))}])"
+    rf"|(?P<look>(?-i:[{re.escape(''.join(LOOKALIKES))}]))"
     rf"|(?P<none>[{INVISIBLE}])",
     re.IGNORECASE,
 )

@@ -72,6 +72,13 @@ def test_clean_text_stays_clean(text):
     assert pii.find_all(text) == ([], [])
 
 
+def test_letters_that_only_look_alike_in_the_other_case_are_copied():
+    letters = [chr(c) for c in (0xB5, 0x212A, *range(0x370, 0x530), *range(0x1F00, 0x2000), *range(0xFF01, 0xFF5F))]
+    for text in (*(f"о {c}" for c in letters), "".join(letters), "в Москве кто-то ответил: всё так, Ωμέγα και βήτα"):
+        assert pii.Written(text).text == "".join(pii.LOOKALIKES.get(c, c) for c in text)
+        pii.find_all(text)
+
+
 def test_documents(spark):
     rows = [(1, "mail a@b.co and +1 (348) 555-9642", "s"), (2, None, "s"), (3, "", None), (None, "x (at) y (dot) com", "s"), (1, "mail a@b.co and +1 (348) 555-9642", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
