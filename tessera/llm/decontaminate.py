@@ -3,9 +3,9 @@
 Both sides are canonicalised alike: a capitalised word inside a sentence becomes a name, a number a number and a unit behind a number a
 unit placeholder; the rest is lower case without punctuation. Windows of ``WINDOW`` tokens with at least ``LITERALS`` tokens that
 are no placeholders are hashed; documents' windows meet the items' windows in a hash join. Hits of one document and item are gathered by
-their offset (windows in a row have one offset), offsets with too few hits are left out, and an item is found if at least
-``SIMILARITY`` of its windows are. What stood in the places of placeholders must be consistent: within an item each filler has
-one counterpart in the document, and counterparts of different fillers of one type differ, so a question whose numbers or
+their offset (windows in a row have one offset), offsets with too few hits are left out, offsets close to each other are one occurrence,
+and an item is found if at least ``SIMILARITY`` of its windows are in one of its occurrences, or in all of them together. What stood in
+the places of placeholders must be consistent: within an occurrence each filler has one counterpart in the document, and counterparts of different fillers of one type differ, so a question whose numbers or
 names were replaced throughout is found, and a chance likeness of templates is not.
 
 Scale. A document's text never leaves its task: only windows that the items have, few, are shuffled, by document and item. The items' distinct
@@ -17,7 +17,7 @@ rows give repeated results; a null doc_id or item_id is reported as null. Other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, read_table, small_side
@@ -79,10 +79,30 @@ def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
     return template_windows(rows, keep).select(*keep, F.explode_outer("windows").alias("w")).select(*keep, "w.hash", "w.place", "w.first", "w.last").where(F.col("hash").isNotNull())
 
 
+def occurrences(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, occurrence, n_found, slots: the places of an item found in each occurrence, and their fillers.
+
+    ``hits`` has ``keys``, n_windows, offset, at and slots. Hits of one offset are a line; lines of too few hits are left out.
+    Lines whose offsets are close to each other are one occurrence (words were put in or left out), and all lines of the document
+    together are one as well (occurrence -1), for an item with long insertions. A place counts in its longest line only, so a stray line
+    beside a copy has no say.
+    """
+    line = Window.partitionBy(*keys, "offset")
+    lines = hits.withColumn("held", F.size(F.collect_set("at").over(line))).where(F.col("held") >= F.least(F.lit(LEAST_HITS), F.col("n_windows")))
+    along = Window.partitionBy(*keys).orderBy("offset", "at")
+    apart = 2 * (F.col("offset") - F.lag("offset").over(along)) > F.col("n_windows")
+    marked = lines.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    marked = marked.withColumn("nth", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    either = marked.withColumn("occurrence", F.explode(F.array(F.col("nth"), F.lit(-1).cast("long"))))
+    best = either.groupBy(*keys, "occurrence", "at").agg(F.max(F.struct("held", -F.col("offset"), "slots")).alias("best"))
+    return best.groupBy(*keys, "occurrence").agg(F.count(F.lit(1)).alias("n_found"), F.array_distinct(F.flatten(F.collect_list("best.slots"))).alias("slots"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, n_windows, n_found, similarity, n_changed: one row for each document and item found in it.
 
-    ``n_changed``: fillers that differ from the item's; zero for a copy as it stands.
+    ``n_changed``: fillers that differ from the item's; zero for a copy as it stands. Of several occurrences the row tells of the most
+    similar, then the least changed.
     """
     numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     keyed = numbered.withColumn("item_key", F.xxhash64("item_id", "text"))
@@ -101,17 +121,15 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     doc = ["row", "doc_id", "text_key", "item_key", "item_id", "n_windows"]
     slots = F.array(F.struct(F.col("own_first").alias("own"), F.col("first").alias("other")), F.struct(F.col("own_last").alias("own"), F.col("last").alias("other")))
     rowed = hits.select(*doc, (F.col("place") - F.col("at")).alias("offset"), "at", F.filter(slots, lambda s: s["own"] != 0).alias("slots"))
-    lines = rowed.groupBy(*doc, "offset").agg(F.collect_set("at").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lines = lines.where(F.size("found") >= F.least(F.lit(LEAST_HITS), F.col("n_windows")))
-    both = lines.groupBy(*doc).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    # by all that the occurrences of a document and item are told apart by, so they need no other shuffle
+    both = occurrences(rowed.repartition("row", "item_key"), doc)
     n = F.size("slots")
     consistent = (F.size(F.array_distinct("slots.own")) == n) & (F.size(F.array_distinct("slots.other")) == n)
-    similarity = F.size("found") / F.col("n_windows")
-    found = both.where((similarity >= SIMILARITY) & consistent)
-    return found.select(
-        "doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.size("found").cast("long").alias("n_found"),
-        similarity.alias("similarity"), F.size(F.filter("slots", lambda s: s["own"] != s["other"])).cast("long").alias("n_changed"),
-    )
+    changed = F.size(F.filter("slots", lambda s: s["own"] != s["other"])).cast("long")
+    both = both.withColumns({"similarity": F.col("n_found") / F.col("n_windows"), "n_changed": changed})
+    found = both.where((F.col("similarity") >= SIMILARITY) & consistent)
+    best = found.groupBy(*doc).agg(F.max(F.struct("similarity", -F.col("n_changed"), "n_found", "n_changed")).alias("best"))
+    return best.select("doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_found").cast("long").alias("n_found"), "best.similarity", "best.n_changed")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

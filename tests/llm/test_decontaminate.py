@@ -73,3 +73,29 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert dc.find_leaks(d, b).count() == 0 and dc.without_leaks(d, b).count() == 0
     assert dc.find_leaks(b.withColumnRenamed("item_id", "doc_id"), d.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def found(spark, docs, items):
+    return {(r.doc_id, r.item_id) for r in leaks(spark, docs, items).collect()}
+
+
+VARIANT = ITEMS[0][1].replace("240", "1,300").replace("35", "70").replace("12", "9").replace("Lyon", "Turin")
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    third = ITEMS[0][1].replace("240", "77").replace("35", "41").replace("Marta", "Olga")
+    stray = "after 9 more km of road"
+    docs = [
+        (1, f"{ITEMS[0][1]} {FILLER} {VARIANT}"),
+        (2, f"{VARIANT} {third}"),
+        (3, f"{FILLER} carries 90 passengers for 70 km before Petra leaves it; {FILLER} {ITEMS[0][1]} {stray}"),
+        (4, VARIANT.replace("how many", f"{FILLER} {FILLER} how many")),
+        (5, ITEMS[0][1].replace("Marta leaves", "Ivan leaves").replace("of Marta", "of Petra") + f" {FILLER} {FILLER}"),
+    ]
+    assert found(spark, docs, ITEMS[:1]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_two_items_of_one_template(spark):
+    items = [(1, ITEMS[0][1]), (2, VARIANT)]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in leaks(spark, [(1, f"{items[0][1]}\n{FILLER}\n{items[1][1]}")], items).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0}
