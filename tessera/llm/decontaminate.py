@@ -1,8 +1,11 @@
 """Operator 2: benchmark items in documents, also with other numbers, names and units. DataFrame functions only.
 
 Both sides are canonicalised alike: a capitalised word inside a sentence becomes a name, a number a number and a unit behind a number a
-unit placeholder; the rest is lower case without punctuation. Windows of ``WINDOW`` tokens with at least ``LITERALS`` tokens that
-are no placeholders are hashed; documents' windows meet the items' windows in a hash join. Hits of one document and item are gathered by
+unit placeholder; the rest is lower case without punctuation. A second template has names at the starts of sentences, lines and quotations
+too. Windows of ``WINDOW`` tokens with at least ``LITERALS`` tokens that are no placeholders are hashed, and besides all windows of
+the folded words (lower case without punctuation, nothing replaced), for copies in another case and items of few literals; documents' windows
+meet the items' windows in a hash join. Each of the three forms is judged by itself; the folded form compares no fillers, the second template is
+left out for items with less than half of their windows in it. Hits of one document and item are gathered by
 their offset (windows in a row have one offset), offsets with too few hits are left out, offsets close to each other are one occurrence,
 and an item is found if at least ``SIMILARITY`` of its windows are in one of its occurrences, or in all of them together. What stood in
 the places of placeholders must be consistent: within an occurrence each filler has one counterpart in the document, and counterparts of different fillers of one type differ, so a question whose numbers or
@@ -11,12 +14,15 @@ names were replaced throughout is found, and a chance likeness of templates is n
 Scale. A document's text never leaves its task: only windows that the items have, few, are shuffled, by document and item. The items' distinct
 hashes are broadcast only if there are at most ``BROADCAST_ROWS`` of them (counted first); beyond that the same join is shuffled.
 
-Null and empty texts have no windows, and a text or item with fewer tokens than a window has one window, of all its tokens. Repeated
+Null and empty texts have no windows. An item with fewer tokens than a window has one window, of all its tokens, and documents then have
+windows of that length as well. Repeated
 rows give repeated results; a null doc_id or item_id is reported as null. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +34,9 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 
 # Placeholders; the control characters do not occur in words that were not replaced (they are removed from texts first).
 NAME, NUMBER, UNIT = "\x01n", "\x01d", "\x01u"
+MARK = "\x02"
+#: Forms that windows are read in: folded words, the template, and the template with names at starts of sentences too.
+FOLDED, FIRST, SECOND = 0, 1, 2
 #: Units (fixed word list), recognised behind a number only.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds ml l litre litres liter liters gallon gallons "
@@ -40,43 +49,99 @@ _UNIT_PATTERN = rf"(?<={NUMBER}[\x20\x09])(?:{'|'.join(UNITS.split())})(?![\p{{L
 
 
 def _canonical(text: Column) -> Column:
+    """The text with placeholders, lower case, without punctuation; ``MARK`` before words that may be names."""
     text = F.regexp_replace(text, _NUMBER_PATTERN, NUMBER)
     text = F.regexp_replace(text, _NAME_PATTERN, NAME)
     text = F.regexp_replace(F.lower(text), _UNIT_PATTERN, UNIT)
     return F.regexp_replace(text, r"[\p{P}\p{S}]+", "")
 
 
-def template_windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and an array of windows (hash, place, fillers at its first and last token: 0 if no placeholder) of the column text.
-
-    Each token is the first or the last of some window, so all fillers are there.
-    """
-    clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01", "")
+def _tokens(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the array ``tokens`` of the column text: codes of the folded word, of the word in the second template
+    and, where it differs, in the first; and a code of what a placeholder stands for (0: no placeholder in either template)."""
+    clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", "")
     frame = rows.select(*keep, clean.alias("text"))
-    frame = frame.withColumns({"raw": F.split("text", _BLANKS), "canon": F.split(_canonical(F.col("text")), _BLANKS)})
-    pairs = F.filter(F.arrays_zip("canon", "raw"), lambda p: p["canon"] != "")
-    frame = frame.select(*keep, pairs.alias("pairs"))
-    is_slot = lambda p: p["canon"].startswith("\x01")
-    filler = F.transform("pairs", lambda p: F.when(is_slot(p), F.hash(p["canon"], p["raw"]).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
-    frame = frame.select(*keep, F.transform("pairs", lambda p: F.xxhash64(p["canon"])).alias("codes"), filler.alias("fillers"))
-    size = F.size("codes")
-    last = F.greatest(size - WINDOW, F.lit(0))
+    folded = F.regexp_replace(F.lower("text"), r"[\p{P}\p{S}]+", "")
+    frame = frame.withColumns({"raw": F.split("text", _BLANKS), "canon": F.split(_canonical(F.col("text")), _BLANKS), "folded": F.split(folded, _BLANKS)})
+    words = F.filter(F.arrays_zip("canon", "raw", "folded"), lambda p: p["canon"] != "")
+    frame = frame.select(*keep, words.alias("words"))
+    marked = lambda p: p["canon"].startswith(MARK)
+    kind = lambda p: F.when(marked(p), F.lit(NAME)).otherwise(p["canon"])
 
-    def window(i: Column) -> Column:
-        parts = [F.get("codes", i + j) for j in range(WINDOW)]
-        slots = [F.coalesce((F.get("fillers", i + j) != 0).cast("int"), F.lit(0)) for j in range(WINDOW)]
-        literal = F.least(size, F.lit(WINDOW)) - sum(slots[1:], slots[0])
-        ends = F.coalesce(F.get("fillers", F.least(i + WINDOW - 1, size - 1)), F.lit(0))
-        whole = F.when(literal >= F.least(F.lit(LITERALS), size), F.xxhash64(*parts))
-        return F.struct(whole.alias("hash"), i.alias("place"), F.get("fillers", i).alias("first"), ends.alias("last"))
+    def token(p: Column) -> Column:
+        filler = F.when(kind(p).startswith("\x01"), F.hash(kind(p), p["raw"]).bitwiseOR(F.lit(1))).otherwise(F.lit(0))
+        first = F.when(marked(p), F.xxhash64(F.substring(p["canon"], 2, 1 << 30)))
+        return F.struct(F.xxhash64(p["folded"]).alias("folded"), F.xxhash64(kind(p)).alias("second"), first.alias("first"), filler.alias("filler"))
 
-    every = F.when(size > 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(F.array().cast("array<struct<hash:bigint,place:int,first:int,last:int>>"))
-    return frame.select(*keep, every.alias("windows"))
+    return frame.select(*keep, F.transform("words", token).alias("tokens"))
 
 
-def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    # not explode: its inferred filter on the array's size would compute the windows a second time, below the projections that hold their parts
-    return template_windows(rows, keep).select(*keep, F.explode_outer("windows").alias("w")).select(*keep, "w.hash", "w.place", "w.first", "w.last").where(F.col("hash").isNotNull())
+def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> DataFrame:
+    """``keep`` columns, place, and the array ``views`` of the window of each of ``lengths`` tokens that begins there, once for each form that it is read in.
+
+    A view has form, length, hash (null: no such window, too few literals in a template, or the same as in the form before), and the
+    fillers at its first and last token (0: no placeholder). Each token is the first or the last of some window, so all fillers are there.
+    """
+    tokens = _tokens(rows, keep)
+    later = [F.col("tokens"), *[F.slice("tokens", F.lit(j + 1), F.greatest(F.size("tokens") - j, F.lit(0))) for j in range(1, max(lengths))]]
+    zipped = F.arrays_zip(*[t.alias(f"t{j}") for j, t in enumerate(later)])
+    # not explode: its inferred filter on the array's size would compute the tokens a second time, below the projections that hold their parts
+    frame = tokens.select(*keep, zipped.alias("zipped")).select(*keep, F.posexplode_outer("zipped").alias("place", "z"))
+    fields = {"folded": "d", "second": "s", "first": "a", "filler": "f"}
+    frame = frame.select(*keep, "place", *[F.col(f"z.t{j}.{long}").alias(f"{short}{j}") for j in range(max(lengths)) for long, short in fields.items()])
+    frame = frame.where(F.col("d0").isNotNull())
+
+    def count(conditions: list[Column]) -> Column:
+        return sum((c.cast("int") for c in conditions[1:]), conditions[0].cast("int"))
+
+    views = []
+    for n in lengths:
+        span = range(n)
+        there = F.col(f"d{n - 1}").isNotNull()
+        marks = count([F.col(f"a{j}").isNotNull() for j in span])
+        slots = count([F.coalesce(F.col(f"f{j}") != 0, F.lit(False)) for j in span])
+        enough = min(LITERALS, n)
+        one = lambda j: F.when(F.col(f"a{j}").isNull(), F.col(f"f{j}")).otherwise(F.lit(0))
+        forms = [
+            (FOLDED, there, F.xxhash64(*[F.col(f"d{j}") for j in span]), F.lit(0), F.lit(0)),
+            (FIRST, there & (slots > marks) & (n - slots + marks >= enough), F.xxhash64(*[F.coalesce(f"a{j}", f"s{j}") for j in span]), one(0), one(n - 1)),
+            (SECOND, there & (marks > 0) & (n - slots >= enough), F.xxhash64(*[F.col(f"s{j}") for j in span]), F.col("f0"), F.col(f"f{n - 1}")),
+        ]
+        for form, usable, code, first, last in forms:
+            views.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), F.when(usable, code).alias("hash"), first.alias("first"), last.alias("last"), slots.alias("slots"), marks.alias("marks")))
+    return frame.select(*keep, "place", F.array(*views).alias("views"))
+
+
+def _exploded(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> DataFrame:
+    frame = windows_of(rows, keep, lengths).select(*keep, "place", F.explode_outer("views").alias("v"))
+    return frame.select(*keep, "place", "v.*").where(F.col("hash").isNotNull())
+
+
+def windows_of_items(items: DataFrame) -> DataFrame:
+    """item_key, item_id, form, length, hash, at, own_first, own_last, n_windows (places of the item in that form): ``items`` has item_id and text."""
+    keyed = items.withColumn("item_key", F.xxhash64("item_id", "text"))
+    keep = ["item_key", "item_id"]
+    # the first word of an item may stand inside a sentence of a document: its window is there in both forms
+    inside = _exploded(keyed.withColumn("text", F.concat(F.lit("x "), F.ltrim("text"))), keep, range(1, WINDOW + 1)).where((F.col("place") == 1) & (F.col("form") == FIRST))
+    every = _exploded(keyed, keep, range(1, WINDOW + 1)).unionByName(inside.withColumn("place", F.lit(0)))
+    sizes = every.where((F.col("form") == FOLDED) & (F.col("length") == 1)).groupBy("item_key").agg(F.count_distinct("place").alias("size"))
+    every = every.join(sizes, "item_key").where(F.col("length") == F.least(F.col("size"), F.lit(WINDOW)))
+    # a window that reads the same in several forms is there once: here it belongs to each of them
+    literal = F.col("length") - F.col("slots") + F.col("marks") >= F.least(F.lit(LITERALS), F.col("length"))
+    forms = (
+        F.when(F.col("form") == SECOND, F.array(F.lit(SECOND)))
+        .when(F.col("form") == FIRST, F.when(F.col("marks") > 0, F.array(F.lit(FIRST))).otherwise(F.array(F.lit(FIRST), F.lit(SECOND))))
+        .when(F.col("slots") == 0, F.array(F.lit(FOLDED), F.lit(FIRST), F.lit(SECOND)))
+        .when((F.col("slots") == F.col("marks")) & literal, F.array(F.lit(FOLDED), F.lit(FIRST)))
+        .otherwise(F.array(F.lit(FOLDED)))
+    )
+    every = every.withColumn("form", F.explode(forms))
+    every = every.select(*keep, "form", "length", "hash", F.col("place").alias("at"), F.col("first").alias("own_first"), F.col("last").alias("own_last")).distinct()
+    totals = every.groupBy("item_key", "form").agg(F.count_distinct("at").alias("n_windows"))
+    places = totals.where(F.col("form") == FOLDED).select("item_key", F.col("n_windows").alias("n_places"))
+    # a second template of few windows says too little
+    totals = totals.join(places, "item_key").where((F.col("form") != SECOND) | (2 * F.col("n_windows") >= F.col("n_places"))).drop("n_places")
+    return every.join(totals, ["item_key", "form"])
 
 
 def occurrences(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,24 +166,19 @@ def occurrences(hits: DataFrame, keys: list[str]) -> DataFrame:
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, n_windows, n_found, similarity, n_changed: one row for each document and item found in it.
 
-    ``n_changed``: fillers that differ from the item's; zero for a copy as it stands. Of several occurrences the row tells of the most
-    similar, then the least changed.
+    ``n_changed``: fillers that differ from the item's; zero for a copy as it stands. Where several forms or occurrences are
+    found, the row tells of one in a template before a folded one, then of the most similar, then of the least changed.
     """
     numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    keyed = numbered.withColumn("item_key", F.xxhash64("item_id", "text"))
-    # the first word of an item may stand inside a sentence of a document: its window is there in both forms
-    inside = _exploded(keyed.withColumn("text", F.concat(F.lit("x "), F.ltrim("text"))), ["item_key", "item_id"]).where(F.col("place") == 1)
-    of_items = _exploded(keyed, ["item_key", "item_id"]).union(inside.withColumn("place", F.lit(0))).distinct()
-    of_items = of_items.select("item_key", "item_id", "hash", F.col("place").alias("at"), F.col("first").alias("own_first"), F.col("last").alias("own_last"))
-    totals = of_items.groupBy("item_key").agg(F.count_distinct("at").alias("n_windows"))
-    of_items = cut(of_items.join(totals, "item_key"))
+    of_items = cut(windows_of_items(numbered))
+    lengths = sorted({r["length"] for r in of_items.select("length").distinct().collect()}) or [WINDOW]  # at most WINDOW of them
     hashes = of_items.select("hash").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumns({"row": F.monotonically_increasing_id(), "text_key": F.xxhash64(F.col("text").cast("string"))})
-    of_docs = _exploded(rows, ["row", "doc_id", "text_key"])
+    of_docs = _exploded(rows, ["row", "doc_id", "text_key"], lengths).select("row", "doc_id", "text_key", "place", "length", "hash", "first", "last")
     small = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = of_docs.join(F.broadcast(hashes) if small else hashes, "hash", "left_semi")
-    hits = hits.join(of_items, "hash")
-    doc = ["row", "doc_id", "text_key", "item_key", "item_id", "n_windows"]
+    hits = hits.join(of_items, ["hash", "length"])
+    doc = ["row", "doc_id", "text_key", "item_key", "item_id", "form", "n_windows"]
     slots = F.array(F.struct(F.col("own_first").alias("own"), F.col("first").alias("other")), F.struct(F.col("own_last").alias("own"), F.col("last").alias("other")))
     rowed = hits.select(*doc, (F.col("place") - F.col("at")).alias("offset"), "at", F.filter(slots, lambda s: s["own"] != 0).alias("slots"))
     # by all that the occurrences of a document and item are told apart by, so they need no other shuffle
@@ -128,8 +188,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     changed = F.size(F.filter("slots", lambda s: s["own"] != s["other"])).cast("long")
     both = both.withColumns({"similarity": F.col("n_found") / F.col("n_windows"), "n_changed": changed})
     found = both.where((F.col("similarity") >= SIMILARITY) & consistent)
-    best = found.groupBy(*doc).agg(F.max(F.struct("similarity", -F.col("n_changed"), "n_found", "n_changed")).alias("best"))
-    return best.select("doc_id", "text_key", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_found").cast("long").alias("n_found"), "best.similarity", "best.n_changed")
+    rank = F.struct((F.col("form") != FOLDED).alias("template"), "similarity", -F.col("n_changed"), -F.col("form"), F.col("n_windows"), F.col("n_found"), F.col("n_changed"))
+    best = found.groupBy("row", "doc_id", "text_key", "item_key", "item_id").agg(F.max(rank).alias("best"))
+    return best.select("doc_id", "text_key", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("n_windows", "n_found")], "best.similarity", "best.n_changed")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -99,3 +99,18 @@ def test_two_items_of_one_template(spark):
     items = [(1, ITEMS[0][1]), (2, VARIANT)]
     got = {(r.doc_id, r.item_id): r.n_changed for r in leaks(spark, [(1, f"{items[0][1]}\n{FILLER}\n{items[1][1]}")], items).collect()}
     assert got == {(1, 1): 0, (1, 2): 0}
+
+
+def test_short_items_and_items_of_few_literals(spark):
+    items = [*ITEMS[1:3], (6, "Solve 3 x + 5 = 20 for x"), (7, "Anna, Bela, Carl, Dora, Emil and Fritz"), (8, "Yes")]
+    docs = [
+        (12, ITEMS[1][1].upper()),
+        (14, f"{FILLER} Short item of words. {FILLER}"),
+        (16, f"{FILLER} Solve 3 x + 5 = 20 for x. {FILLER}"),
+        (17, f"{FILLER} Solve 4 x + 6 = 30 for x. {FILLER}"),
+        (18, f"{FILLER} anna, Bela, Carl, Dora, Emil and Fritz {FILLER}"),
+        (19, "short item of"),
+        (20, f"{FILLER}: yes! {FILLER}"),
+        (21, "of words short item yesterday"),
+    ]
+    assert found(spark, docs, items) == {(12, 2), (14, 3), (16, 6), (17, 6), (18, 7), (20, 8)}
