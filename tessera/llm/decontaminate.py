@@ -44,6 +44,8 @@ UNITS = (
     "dollar dollars cent cents euro euros rupees yen usd eur gbp kmh mph kb mb gb tb hz khz mhz ghz watt watts volt volts joules"
 )
 _NAME_PATTERN = r"(?<=[\p{L}\p{N},;][\x20\x09])\p{Lu}[\p{L}\p{M}'’-]*"
+#: What is capitalised elsewhere, at the start of a sentence, line or quotation: perhaps a name.
+_START_PATTERN = r"(?<![\p{L}\p{M}\p{N}'’\x01-])(\p{Lu}[\p{L}\p{M}'’-]*)"
 _NUMBER_PATTERN = r"(?<![\p{L}\p{N}])[$€£]?[0-9]++(?:[.,:/][0-9]++)*%?(?![\p{L}\p{N}])"
 _UNIT_PATTERN = rf"(?<={NUMBER}[\x20\x09])(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
 
@@ -52,6 +54,7 @@ def _canonical(text: Column) -> Column:
     """The text with placeholders, lower case, without punctuation; ``MARK`` before words that may be names."""
     text = F.regexp_replace(text, _NUMBER_PATTERN, NUMBER)
     text = F.regexp_replace(text, _NAME_PATTERN, NAME)
+    text = F.regexp_replace(text, _START_PATTERN, MARK + "$1")
     text = F.regexp_replace(F.lower(text), _UNIT_PATTERN, UNIT)
     return F.regexp_replace(text, r"[\p{P}\p{S}]+", "")
 

@@ -114,3 +114,17 @@ def test_short_items_and_items_of_few_literals(spark):
         (21, "of words short item yesterday"),
     ]
     assert found(spark, docs, items) == {(12, 2), (14, 3), (16, 6), (17, 6), (18, 7), (20, 8)}
+
+
+QUESTION = "Marta has 5 apples. Marta buys 3 more apples. Marta gives 2 to Ivan. How many apples does Marta have now?"
+
+
+def test_names_at_starts_and_other_case(spark):
+    docs = [
+        (1, FILLER + "\n" + QUESTION.replace("Marta", "Olga").replace("Ivan", "Peter").replace("5", "8")),
+        (2, f"{FILLER} {QUESTION.upper()}"),
+        (3, f'{FILLER} "{QUESTION.lower()}"'),
+        (4, QUESTION.replace("Marta gives", "Olga gives").replace("5", "8").replace("does Marta", "does Peter")),
+    ]
+    got = {r.doc_id: r.n_changed > 0 for r in leaks(spark, docs, [(1, QUESTION)]).collect()}
+    assert got == {1: True, 2: False, 3: False}
