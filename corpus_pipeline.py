@@ -19,9 +19,17 @@ from tessera.llm.quality_rules import kept_documents
 from tessera.llm.simhash import keep_one_of_each
 
 
+def _counted_again(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """``clean`` with ``docs``' columns, ``n_chars`` (if there) counted again."""
+    if "n_chars" not in docs.columns:
+        return clean
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
-    return kept_documents(docs)
+    """Documents that the quality rules keep, without lines that are frequent in their source, ``n_chars`` counted again."""
+    return _counted_again(docs, kept_documents(docs))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the names of their kinds, ``n_chars`` counted again."""
-    clean = redact(docs)
-    if "n_chars" not in docs.columns:
-        return clean
-    kind = docs.schema["n_chars"].dataType
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
+    return _counted_again(docs, redact(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Base rules count what stands in one text. The cross-document rule hashes normalised lines (lower case, runs of white space as one
 blank), counts for each host in how many different texts a line stands, and removes lines that stand in more than
 ``MIN_TEXTS`` texts and in more than ``SHARE`` of the host's texts from all of them but the first (least doc_id), so that one copy of a
-popular text survives. A document of whose characters in lines more than ``DEPLETED`` are removed is rejected.
+popular text survives. A document of whose characters in lines more than ``DEPLETED`` are removed is rejected. ``judge`` gives counts and
+verdicts, ``kept_documents`` the documents with the lines removed.
 
 The host of ``documents`` is its ``source``; a null source is a host of its own. Equal texts of one host count once, so repeated rows and
 exact copies do not make a line frequent. Null text is empty (it has no words, so base rules reject it); a null doc_id is never
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, small_side
+from tessera.llm.common import cut, read_table
 
 MIN_TEXTS, SHARE, DEPLETED = 20, 0.1, 0.7
 MIN_WORDS, MAX_REPEATED = 10, 20
 SALTS = 16  # a power of two
+BROADCAST_LINES = 1_000_000
 _BLANKS = r"[\x20\x09-\x0D]+"
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
@@ -107,8 +109,8 @@ def frequent_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     return salted.join(spread, ["host", "salt"]).where(F.col("n") > SHARE * F.col("texts")).select("line", "keeper")
 
 
-def _removed(docs: DataFrame) -> DataFrame:
-    """text_key, removed_chars of each text that loses lines."""
+def _removed(docs: DataFrame, which: bool = False) -> DataFrame:
+    """text_key, removed_chars of each text that loses lines, and if ``which`` the array ``lost`` of those lines."""
     lines = _lines(docs)
     texts = docs.select(_host(docs).alias("host"), F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
     copies = texts.groupBy("text_key").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("copies")).where(F.col("host").isNotNull() & (F.col("copies") > 0))
@@ -117,8 +119,8 @@ def _removed(docs: DataFrame) -> DataFrame:
     met = lines.join(spread, (F.col("line") == F.col("key")) & (F.col("text_key").bitwiseAND(F.lit(SALTS - 1)) == F.col("salt")))
     # the host is not used here either, but see frequent_lines
     lost = met.where((F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper"))) & F.col("host").isNotNull())
-    sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"))
-    return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"))
+    sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"), *[F.collect_list("line").alias("lost")] * which)
+    return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"), *["lost"] * which)
 
 
 def _failed() -> Column:
@@ -141,12 +143,19 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows and columns of the documents that are kept. Texts are not shuffled unless very many texts lose lines."""
-    removed = small_side(_removed(docs))
-    joined = base_counts(docs, whole=True).join(removed, "text_key", "left")
+    """The rows and columns of the documents that are kept, their texts without the lines that the cross-document rule removes.
+
+    Null text stays null; other columns are as they were. Texts are not shuffled unless very many lines are lost.
+    """
+    removed = cut(_removed(docs, which=True))
+    n_lost = removed.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0]
+    joined = base_counts(docs, whole=True).join(F.broadcast(removed) if n_lost <= BROADCAST_LINES else removed, "text_key", "left")
     # the condition on ``nth``, always true, keeps the filter above the projections that compute the counts: below them it would
     # have their expressions in place of columns, and arrays would be computed again for each of their elements
-    return joined.where((F.col("nth") >= 0) & _kept(F.coalesce("removed_chars", F.lit(0).cast("long")))).select("row.*")
+    kept = joined.where((F.col("nth") >= 0) & _kept(F.coalesce("removed_chars", F.lit(0).cast("long"))))
+    left = F.filter(F.split(F.col("row.text").cast("string"), "\n"), lambda x: ~F.array_contains("lost", F.xxhash64("host", normal_line(x))))
+    text = F.when(F.col("lost").isNull(), F.col("row.text").cast("string")).otherwise(F.array_join(left, "\n"))
+    return kept.select(*[text.cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

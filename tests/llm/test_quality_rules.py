@@ -86,3 +86,18 @@ def test_numbers_of_lines_beyond_the_limit_only_matter_within_a_host(spark):
     rows = [(i, f"the very same line of text in each of these\nown {i} word", str(i)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert all(r.kept for r in qr.judge(docs).collect())
+
+
+def test_kept_texts_lose_their_frequent_lines(spark):
+    common = "Share this page with all of your good friends now"
+    own = lambda i: f"own{i} line of quite a few words that stand nowhere else but here {i * 7}\n\n  and one more of them, number {i}"
+    rows = [(i, f"{own(i)}\n  {common.upper()} \nlast {i}" if i % 3 else own(i), "a", 5) for i in range(60)]
+    rows += [(100, f"{own(100)}\n{common}", "b", 5), (2, rows[2][1], "a", 5), (101, common + " and ten words in all", "b", 5), (102, None, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lost long")
+    kept = qr.kept_documents(docs)
+    assert kept.columns == docs.columns and "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+    # the line stays in the first text that has it, in texts without it, and in another source
+    expected = [(i, t.replace(f"\n  {common.upper()} ", "") if s == "a" and i != 1 else t, s, n) for i, t, s, n in rows if t is not None]
+    assert sorted(map(tuple, kept.collect())) == sorted(expected)
+    removed = {r.doc_id: r.removed_chars for r in qr.judge(docs).collect()}
+    assert all(removed[i] == (len(f"  {common} ") if i < 60 and i % 3 and i != 1 else 0) for i in removed)
