@@ -6,8 +6,9 @@ them. What is left (documents without links, and linked ones beyond a shard's sh
 differ by at most one (law ``rows``).
 
 Scale. Copies of one text are one vertex set, counted by (text, shard) before anything moves, so a round handles counts, not documents,
-and emits no pairs. A text with more than 1/8 of a shard's copies is dealt into pieces of that size, each a vertex set of its own;
-there are at most 8 times as many such texts as shards, which bounds their broadcast. Quotas are shared out by a histogram of
+and emits no pairs. A text with more than 1/8 of a shard's copies is dealt into pieces of that size, which move one by one but stay linked
+by their parent, a set of up to a shard's copies of the text: pieces are drawn to the shard that has most of the parent, and where that has no room
+to the shard that has most of the piece. There are at most 8 times as many such texts as shards, which bounds their broadcast. Quotas are shared out by a histogram of
 gains (at most shards x shards x ``LEVELS`` counts, which the driver gets), not by sorting movers. Places within a shard come from one range sort with prefix
 sums over partitions. Only counts by shard and by partition reach the driver.
 
@@ -40,16 +41,19 @@ def _base(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _pieces(base: DataFrame, n: int, shards: int) -> DataFrame:
-    """The rows with ``piece``: the vertex set of linked documents, null for a document without links."""
+    """The rows with ``piece``, the set of linked documents that moves as one, null for a document without links, and its ``parent``."""
     most = max(2, n // (shards * PIECES_PER_SHARD))
+    quota = max(most, n // shards)
     groups = cut(base.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    large = groups.where(F.col("n") > most).select(*_TEXT, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts"))
+    large = groups.where(F.col("n") > most).select(*_TEXT, "n", F.ceil(F.col("n") / F.lit(quota)).cast("int").alias("parents"))
+    large = large.select(*_TEXT, "parents", (F.col("parents") * F.ceil(F.col("n") / (F.col("parents") * most))).cast("int").alias("parts"))
     marked = base.join(F.broadcast(large), _TEXT, "left")  # at most shards * PIECES_PER_SHARD + 1 rows
-    dealt = F.xxhash64(*_TEXT, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))
+    dealt, parent = F.xxhash64(*_TEXT, part), F.xxhash64(*_TEXT, F.pmod(part, F.col("parents")), F.lit(-2))
     names = ["doc_id", "size", "text_crc32", "start"]
-    hot = marked.where(F.col("parts").isNotNull()).select(*names, dealt.alias("piece"))
+    hot = marked.where(F.col("parts").isNotNull()).select(*names, dealt.alias("piece"), parent.alias("parent"))
     small = groups.where(F.col("n") <= most).select(*_TEXT, F.xxhash64(*_TEXT, F.lit(-1)).alias("piece"))
-    rest = marked.where(F.col("parts").isNull()).join(small, _TEXT, "left").select(*names, "piece")
+    rest = marked.where(F.col("parts").isNull()).join(small, _TEXT, "left").select(*names, "piece", F.col("piece").alias("parent"))
     return hot.unionByName(rest)
 
 
@@ -87,28 +91,38 @@ def grant(asked: dict[tuple[int, int, int], int], loads: list[int], quotas: list
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """piece, start, n, shard: cells (piece, start, n) after some rounds of moves under quotas of rows for each shard."""
+    """piece, parent, start, n, shard: cells (piece, start, n, and parent if there) after some rounds of moves under quotas of rows for each shard.
+
+    In each round pieces move towards their parent's shard, then what that has no room for towards the piece's own.
+    """
     shards = len(quotas)
+    linked_by = ["parent", "piece"] if "parent" in cells.columns else ["piece"]
+    names = [*linked_by, "start", "n"]
     cells = cut(cells.withColumn("shard", F.col("start")))
     for turn in range(rounds):
-        loads = _by_shard(cells, F.sum("n"), shards)
-        held = cells.groupBy("piece", "shard").agg(F.sum("n").alias("m"))
-        # which of equals is best changes with the round, so that a refused vertex set asks elsewhere next time
-        rank = F.struct(F.col("m"), F.xxhash64("piece", "shard", F.lit(turn)).alias("tie"), F.col("shard"))
-        best = held.groupBy("piece").agg(F.max(rank).alias("best"))
-        joined = cells.join(held, ["piece", "shard"]).join(best, "piece")
-        gain = F.col("best.m") - F.col("m")
-        moves = F.col("best.shard") != F.col("shard")
-        level = F.lit(LEVELS - 1) - F.least(F.lit(LEVELS - 1), F.floor(F.log2(gain + 1)).cast("int"))
-        wish = F.when(moves, F.col("best.shard"))
-        wished = cut(joined.select("piece", "start", "n", "shard", wish.alias("wish"), F.when(moves, level).alias("level")))
-        asked = wished.where(F.col("wish").isNotNull()).groupBy("shard", "wish", "level").agg(F.sum("n").alias("n")).collect()  # bounded: counts by shards and level
-        shares = grant({(r["shard"], r["wish"], r["level"]): r["n"] for r in asked}, loads, quotas)
-        if not any(shares):
+        moved = False
+        for key in linked_by:
+            loads = _by_shard(cells, F.sum("n"), shards)
+            held = cells.groupBy(key, "shard").agg(F.sum("n").alias("m"))
+            # which of equals is best changes with the round, so that a refused vertex set asks elsewhere next time
+            rank = F.struct(F.col("m"), F.xxhash64(key, "shard", F.lit(turn)).alias("tie"), F.col("shard"))
+            best = held.groupBy(key).agg(F.max(rank).alias("best"))
+            joined = cells.join(held, [key, "shard"]).join(best, key)
+            gain = F.col("best.m") - F.col("m")
+            moves = F.col("best.shard") != F.col("shard")
+            level = F.lit(LEVELS - 1) - F.least(F.lit(LEVELS - 1), F.floor(F.log2(gain + 1)).cast("int"))
+            wish = F.when(moves, F.col("best.shard"))
+            wished = cut(joined.select(*names, "shard", wish.alias("wish"), F.when(moves, level).alias("level")))
+            asked = wished.where(F.col("wish").isNotNull()).groupBy("shard", "wish", "level").agg(F.sum("n").alias("n")).collect()  # bounded: counts by shards and level
+            shares = grant({(r["shard"], r["wish"], r["level"]): r["n"] for r in asked}, loads, quotas)
+            if not any(shares):
+                continue
+            moved = True
+            share = F.get(F.lit(shares), F.col("wish") * LEVELS + F.col("level"))
+            lot = F.pmod(F.xxhash64("piece", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
+            cells = cut(wished.select(*names, F.when(lot < share, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+        if not moved:
             break
-        share = F.get(F.lit(shares), F.col("wish") * LEVELS + F.col("level"))
-        lot = F.pmod(F.xxhash64("piece", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
-        cells = cut(wished.select("piece", "start", "n", F.when(lot < share, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
     return cells
 
 
@@ -130,10 +144,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
     # a little room lets full shards exchange documents; what is too much in the end goes to the pool below
     loose = [q + q // SLACK + 1 for q in quotas]
-    cells = propagate(linked.groupBy("piece", "start").agg(F.count(F.lit(1)).alias("n")), loose, rounds)
-    placed = linked.join(cells.select("piece", "start", "shard"), ["piece", "start"])
+    cells = propagate(linked.groupBy("piece", "parent", "start").agg(F.count(F.lit(1)).alias("n")), loose, rounds)
+    placed = linked.join(cells.select("piece", "start", "shard"), ["piece", "start"])  # a piece has one parent
     parts = shuffle_partitions(docs.sparkSession)
-    ordered = cut(placed.repartitionByRange(parts, "shard", "piece", "doc_id").sortWithinPartitions("shard", "piece", "doc_id"))
+    ordered = cut(placed.repartitionByRange(parts, "shard", "parent", "piece", "doc_id").sortWithinPartitions("shard", "parent", "piece", "doc_id"))
     counts = _by_shard(ordered, F.count(F.lit(1)), shards)
     first = [sum(counts[:s]) for s in range(shards)]
     kept = [min(c, q) for c, q in zip(counts, quotas, strict=True)]

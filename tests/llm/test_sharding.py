@@ -60,3 +60,15 @@ def test_odd_rows(spark):
     assert sh.shard_documents(docs.limit(0), 3).count() == 0
     plan = sh.shard_documents(docs, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_pieces_of_a_text_come_together_while_there_is_room(spark):
+    rows = [(i, f"group {i % 3}" if i < 1200 else f"six {i // 6}" if i < 1260 else f"single {i}") for i in range(4000)]
+    where = checked(rows, sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect(), 8)
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_small_groups_of_a_small_table_stay_whole(spark):
+    rows = [(i, f"six {i // 6}" if i < 120 else f"single {i}") for i in range(1000)]
+    where = checked(rows, sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect(), 40)
+    assert all(len(s) == 1 for s in where.values())
