@@ -36,3 +36,23 @@ def set_mode(spark: SparkSession, mode: str) -> None:
     """Switch the execution preset of a session; an unknown name raises ``KeyError``."""
     for key, value in MODES[mode].items():
         spark.conf.set(key, value)
+
+
+def with_threads(spark: SparkSession, threads: int) -> SparkSession:
+    """A session whose queries run on ``threads`` cores.
+
+    A local session has its cores from its start, so another one takes its place, with its other settings. On a cluster cores belong to
+    the executors; there the shuffle's partitions bound the tasks of a stage instead.
+    """
+    if threads < 1:
+        raise ValueError("one thread at least")
+    if not spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(threads))
+        return spark
+    if spark.sparkContext.defaultParallelism == threads:
+        return spark
+    own = ("spark.master", "spark.app.name", "spark.app.id", "spark.app.startTime", "spark.driver.port", "spark.driver.host", "spark.executor.id", "spark.sql.shuffle.partitions")
+    kept = {k: v for k, v in spark.sparkContext.getConf().getAll() if k not in own}
+    name = spark.sparkContext.appName
+    spark.stop()
+    return build_session(f"local[{threads}]", name, threads, kept)
