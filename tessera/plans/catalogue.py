@@ -165,13 +165,17 @@ select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineite
   (p_partkey = l_partkey and p_brand = 'Brand#12' and p_type in ('SMALL', 'PROMO') and l_quantity >= 1 and l_quantity <= 11
     and p_size between 1 and 15 and l_returnflag in ('A', 'R') and l_linestatus = 'O')
   or (p_partkey = l_partkey and p_brand = 'Brand#23' and p_type in ('MEDIUM', 'LARGE') and l_quantity >= 10 and l_quantity <= 20
-    and p_size between 1 and 30 and l_returnflag in ('A', 'R') and l_linestatus = 'O')""")
+    and p_size between 1 and 30 and l_returnflag in ('A', 'R') and l_linestatus = 'O')
+  or (p_partkey = l_partkey and p_brand = 'Brand#34' and p_type in ('LARGE', 'ECONOMY') and l_quantity >= 20 and l_quantity <= 30
+    and p_size between 1 and 45 and l_returnflag in ('A', 'R') and l_linestatus = 'O')""")
 def q19(spark: SparkSession, directory: str) -> DataFrame:
     def branch(brand: str, kinds: list[str], quantity: tuple[int, int], size: int) -> Column:
         part_side = all_of(F.col("p_brand") == brand, in_list(F.col("p_type"), kinds), F.col("p_size").between(1, size))
         return all_of(part_side, F.col("l_quantity").between(*quantity), in_list(F.col("l_returnflag"), ["A", "R"]), F.col("l_linestatus") == "O")
 
-    either = any_of(branch("Brand#12", ["SMALL", "PROMO"], (1, 11), 15), branch("Brand#23", ["MEDIUM", "LARGE"], (10, 20), 30))
+    either = any_of(
+        branch("Brand#12", ["SMALL", "PROMO"], (1, 11), 15), branch("Brand#23", ["MEDIUM", "LARGE"], (10, 20), 30), branch("Brand#34", ["LARGE", "ECONOMY"], (20, 30), 45)
+    )
     joined = equi_join(load(spark, directory, "part"), load(spark, directory, "lineitem"), ["p_partkey"], ["l_partkey"], residual=either)
     return aggregate(joined, [], {"revenue": ("sum", _discounted())}).select(_rounded("revenue"))
 

@@ -98,3 +98,8 @@ def test_expression_builders(spark):
     row = frame.select(like_tokens(F.col("s"), ["special", "requests"]).alias("m"), not_like_tokens(F.col("s"), []).alias("e"), in_list(F.col("s"), []).alias("i"), like_tokens(F.col("s"), ["%_"]).alias("q"), int_div(F.col("n"), F.lit(2)).alias("d"))
     assert [tuple(r) for r in row.collect()] == [(True, False, False, False, -3), (False, False, False, False, 3), (False, False, False, True, 0)]
     assert frame.where(all_of(F.col("n") > -9, any_of(F.col("n") == 7, F.col("n") == 0))).count() == 2
+
+
+def test_division_of_a_constant(spark):
+    frame = spark.createDataFrame([(4,), (-8,), (None,)], "n int")
+    assert [r.d for r in frame.select(with_constant("divide", 2, F.col("n")).alias("d")).collect()] == [0.5, -0.25, None]
