@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -16,13 +18,28 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_the_rest_stands_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+@pytest.mark.parametrize("left_over", [False, True])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, pipeline, left_over):
     shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if pipeline:
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    if left_over:
+        (tmp_path / "tessera" / "llm").mkdir()
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(q) == set(s) and 'q1' in q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_a_missing_library_is_an_error(tmp_path):
+    shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tessera" / "llm").mkdir(exist_ok=True)
+    (tmp_path / "tessera" / "llm" / "registry.py").write_text("import no_such_library\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode and "no_such_library" in done.stderr
+
+
 def test_nothing_outside_imports_the_corpus_operators():
     for path in (ROOT / "tessera").rglob("*.py"):
         if "llm" not in path.parts:
