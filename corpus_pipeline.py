@@ -1,7 +1,8 @@
 """A training-corpus pipeline: quality rules, near-duplicate removal, decontamination, redaction and tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet in the shared checkpoint folder and reads it
-again as the next one's documents, so a lost executor costs tasks of one stage only.
+again as the next one's documents, so a lost executor costs tasks of one stage only. What a stage has read goes once the next is written;
+the last one's rows stay for the caller.
 """
 
 from __future__ import annotations
@@ -64,11 +65,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever store it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``; the last stage's rows."""
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4()}"
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
