@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,28 +20,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``; only where it is unset, one of our own."""
+    """The folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``; where it is unset, one of our own if all runs on this machine, else an error."""
     context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder: lineage ends there, and a lost executor loses nothing."""
+#: Narrow rows in a task, and tasks at least, where a table is known to be small.
+ROWS_IN_TASK, FEWEST_TASKS = 200_000, 12
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks, and so files, that some narrow rows are worth: few rows need not have one for each of the shuffle's partitions."""
+    return max(FEWEST_TASKS, -(-rows // ROWS_IN_TASK))
+
+
+def cut(frame: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The same rows from files in the shared checkpoint folder (at most ``tasks`` of them): lineage ends there, and a lost executor loses nothing."""
     ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    return (frame if tasks is None else frame.coalesce(tasks)).checkpoint(eager=True)
 
 
-def small_side(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """The same rows, from files, marked for broadcast only if there are at most ``rows`` of them (narrow rows are meant); else joins shuffle them."""
+def hinted(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The same rows, marked for broadcast only if there are at most ``rows`` of them (narrow rows are meant); else joins shuffle them. They are counted, so they should come from files."""
     from pyspark.sql import functions as F
 
-    frame = cut(frame)
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def small_side(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """:func:`hinted`, the rows written to files first."""
+    return hinted(cut(frame), rows)
+
+
+#: Bytes in an Arrow batch at most (a row at least). Spark's own bound is 64 MB, which the JVM and Python each hold more than once.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(frame: DataFrame, work, schema) -> DataFrame:
+    """``frame.mapInArrow`` in batches of at most ``BATCH_BYTES``: the session's bound is lowered to that, never raised."""
+    bound, conf = "spark.sql.execution.arrow.maxBytesPerBatch", frame.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", conf.get(bound).lower()).groups()
+    if not 0 < int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) <= BATCH_BYTES:
+        conf.set(bound, str(BATCH_BYTES))
+    return frame.mapInArrow(work, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -165,18 +194,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, e
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     return texts.join(F.broadcast(ids), "doc_id")
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the last is the intercept (not shrunk but for 1e-3)."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, pull = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-3)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + pull * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        step = np.linalg.solve(curve, slope)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w

@@ -17,6 +17,7 @@ order. Of a group of near copies only a tree of links of few branches leaves a c
 
 A null or blank text has fingerprint zero and links like any other. A null doc_id counts as no id: such a row has its component's
 least id (null if there is none). Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
+:func:`keep_one_of_each` keeps one row of each component.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix, read_table, small_side, texts_of
+from tessera.llm.common import cut, hinted, map_arrow, mix, read_table, tasks_for, texts_of
 from tessera.llm.components import component_labels
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -61,14 +62,16 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long): one row per document."""
+    """doc_id, text_key (a hash of the text), fp (the 64 bits as a signed long): one row per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t) for t in texts_of(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.array([fingerprint(t) for t in texts_of(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return map_arrow(rows, work, "doc_id long, text_key long, fp long")
 
 
 class Anchors:
@@ -142,7 +145,7 @@ def _replicate(fps: DataFrame, blocks: int) -> DataFrame:
                 kind[: len(part)] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(kind), pa.array(part[place].view(np.int64))], ["anchor", "kind", "fp"])
 
-    return fps.select("fp").mapInArrow(work, "anchor long, kind byte, fp long")
+    return map_arrow(fps.select("fp"), work, "anchor long, kind byte, fp long")
 
 
 def _nearest(fps: DataFrame, blocks: int) -> DataFrame:
@@ -151,7 +154,7 @@ def _nearest(fps: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(anchors.nearest(batch.column(0).to_numpy().view(np.uint64))[0].view(np.int64))], ["anchor"])
 
-    return fps.select("fp").mapInArrow(work, "anchor long")
+    return map_arrow(fps.select("fp"), work, "anchor long")
 
 
 def _cells(replicas: DataFrame, hot: DataFrame) -> DataFrame:
@@ -254,7 +257,7 @@ def _compare(cells: DataFrame) -> DataFrame:
         if cell.probes is None:
             yield from rows(cell.grouped())
 
-    return cells.mapInArrow(work, "a long, b long")
+    return map_arrow(cells, work, "a long, b long")
 
 
 def near_links(fps: DataFrame, n: int | None = None, blocks: int | None = None, cell: int = CELL) -> DataFrame:
@@ -268,30 +271,40 @@ def near_links(fps: DataFrame, n: int | None = None, blocks: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """doc_id, fp, component_id: one row per document."""
+    """doc_id, text_key, fp, component_id, first (none, doc_id, text_key: that of the component's rows which comes first, ids before none): one row per document."""
     marked = cut(fingerprints(docs))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    tasks = tasks_for(marked.count())
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    distinct = cut(marked.groupBy("fp").agg(F.min(own).alias("own")), tasks)
     labels = component_labels(near_links(distinct, blocks=blocks, cell=cell))
     # tables from files have no partitioning, so both sides of the last joins are shuffled for them alone and a hot label or fingerprint can be split
-    of_label = cut(labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("first_id").alias("component_id")))
-    linked = labels.join(of_label, "label").select(F.col("vertex").alias("fp"), "component_id")
-    every = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return marked.join(every, "fp").select("doc_id", "fp", "component_id")
+    of_label = cut(labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("own").alias("first")), tasks)
+    linked = labels.join(of_label, "label").select(F.col("vertex").alias("fp"), "first")
+    every = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")), tasks)
+    return marked.join(every, "fp").select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows and columns of the documents with the least doc_id of their component; of rows with that id, one.
+    """One row, with all its columns, of each component: that of the least doc_id, of rows with that id the one whose text has the least hash.
 
-    Rows without an id cannot be told apart by it and stay.
+    An id does not tell documents apart: rows of one id and different texts are judged each by its own text. A row without an id is kept
+    only where no row of its component has one; of rows with equal id and text, one is kept.
     """
-    found = cut(near_duplicates(docs).select("doc_id", "component_id"))
-    dropped = small_side(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = small_side(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    keys = cut(near_duplicates(docs).groupBy("doc_id", "text_key", is_first.alias("is_first")).agg(F.count(F.lit(1)).alias("n")))
+    dropped = hinted(keys.where(~F.col("is_first")).select("doc_id", "text_key"))
+    kept = docs.join(dropped, _same(docs, dropped), "left_anti")
+    repeated = hinted(keys.where(F.col("is_first") & (F.col("n") > 1)).select("doc_id", "text_key"))
     if repeated.isEmpty():
         return kept
-    ones = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(ones.select(*docs.columns))
+    ones = kept.join(repeated, _same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, _same(kept, repeated), "left_anti").unionByName(ones)
+
+
+def _same(docs: DataFrame, keys: DataFrame) -> Column:
+    """Whether a row of ``docs`` has the id and text of one of ``keys`` (id, text hash). Columns are taken from their tables, so other names cannot clash."""
+    doc_id, text_key = (keys[c] for c in keys.columns)
+    return docs["doc_id"].cast("long").eqNullSafe(doc_id) & (F.xxhash64(docs["text"].cast("string")) == text_key)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -60,8 +61,25 @@ def test_small_sides(spark):
     assert hinted(10) and not hinted(9)
 
 
-def test_logistic_fit():
-    r = np.random.default_rng(3)
-    x = r.normal(size=(2000, 2))
-    y = (1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5))) > r.random(2000)).astype(float)
-    assert np.allclose(common.fit_logistic(x, y, 0.01), [2, -1, 0.5], atol=0.25)
+def test_a_cluster_must_name_a_shared_checkpoint_folder(monkeypatch):
+    class Context:
+        master, found = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.found
+
+        def setCheckpointDir(self, folder):
+            self.found = folder
+
+    class Conf:
+        def get(self, key, default):
+            return self.folder or default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    Session.conf.folder = None
+    with pytest.raises(ValueError, match="share"):
+        common.ensure_checkpoint_dir(Session)
+    Session.conf.folder = "/shared"
+    assert common.ensure_checkpoint_dir(Session) == "/shared"

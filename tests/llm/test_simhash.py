@@ -101,3 +101,15 @@ def test_documents(spark):
     assert {i: c for (i, _), c in by.items() if i is not None} == {7: 5, 5: 5, 9: 5, 3: 2, 2: 2, 11: 11}
     assert sorted(str(c) for (i, _), c in by.items() if i is None) == ["2", "None"]
     assert sh.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_is_kept_by_text_and_not_by_id(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300))
+    w, x, y, z, u = (text() for _ in range(5))
+    rows = [(0, y, "a"), (1, x, "b"), (1, y, "c"), (2, z, "d"), (2, w, "e"), (None, u, "f"), (None, u, "f"), (None, w, "g"), (7, None, "h"), (6, "", "i"), (2, z, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_id string").selectExpr("*", "1 as label", "2 as repeated_key", "3 as first")
+    kept = sh.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((k.dropped_id for k in kept.collect())) == ["a", "b", "d", "e", "f", "i"]
+    assert sh.keep_one_of_each(docs.limit(0)).count() == 0
