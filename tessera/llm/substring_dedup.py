@@ -2,15 +2,17 @@
 
 A passage of ``WINDOW`` words holds at least one whole block of ``BLOCK`` words of any document that has it, where blocks are those at
 multiples of ``BLOCK``. So (1) every document's blocks are indexed and every rolling ``BLOCK``-word window of every document
-probes the index; (2) around each hit, on both sides, the ``WINDOW``-word windows that hold it are extended candidates, and the least
-doc_id that has each is found; (3) a document loses the words of all its windows that an earlier document has. The union of these
-windows is that of the maximal exact repeats of at least ``WINDOW`` words, and no window outside a hit can be one.
+probes the index; (2) each hit is extended to both sides, word by word, as long as the ``WINDOW``-word windows that hold a hit have an
+earlier owner, the least doc_id among all documents; (3) runs of such windows are the maximal exact repeats, and a document loses
+their words. Windows without a hit are never looked at: no repeat can lie there. Extending by windows rather than by pairs of documents gives the
+union of all partners' repeats without ever forming a pair.
 
 Candidates are compared by 64-bit hashes with more bits in the choice of bucket; block hits by fewer bits, since a false hit only
 makes candidates. A passage that a third of all documents have is one entry for each group of documents, at each step.
 
 Windows are judged on the input. Equal doc_ids are not earlier than each other, and a null doc_id is never earlier and loses nothing.
-Null text has no words. Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
+Null text has no words. Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows. Memory: a group
+of ``groups.GROUP_BYTES`` or its longest text, at some 60 bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -22,19 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordTable, mix, prefix_hash, read_table, span_hash
+from tessera.llm.common import WordTable, map_arrow, mix, prefix_hash, read_table, span_hash
 from tessera.llm.groups import deal, found_in, pack, pack_plain, texts_and_ids, unpack, unpack_plain
 
 WINDOW, BLOCK = 50, 25
+#: Bytes of text whose keys meet in one bucket: of the index (a 25th of the rolling windows, which stream past it), and of candidate windows.
+INDEX_BYTES, CANDIDATE_BYTES = 1 << 30, 16 << 20
 _ASKED = pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("ids", pa.binary())])
 _ASKED_DDL = "g int, bucket int, kind byte, keys binary, ids binary"
 
 
 class Passages:
-    """The words of one group of documents and hashes of their windows."""
+    """The words of one group of documents and hashes of their windows. Documents are in an order that depends on them alone, so places in one phase are those of the next."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.texts, self.ids, self.known = texts_and_ids(table)
+        texts, ids, known = texts_and_ids(table)
+        order = sorted(range(len(texts)), key=list(zip(known.tolist(), ids.tolist(), texts, strict=True)).__getitem__)
+        self.texts, self.ids, self.known = [texts[i] for i in order], ids[order], known[order]
         self.words = WordTable(self.texts)
         self.of_word = np.repeat(np.arange(len(self.texts)), self.words.counts)
         hashes = self.words.hashes()
@@ -120,7 +126,9 @@ def _answer_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield _table([(int(g), bucket, 0, pack(index[hit & (owner == g)]), b"")]).to_batches()[0]
 
 
-def _ask_windows(buckets: int):
+def _ask_windows(buckets: int, window_buckets: int):
+    """The windows that hold a hit, by bucket; and for the group itself (kind 1) which of its windows those are, one bit each."""
+
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([])
@@ -133,27 +141,36 @@ def _ask_windows(buckets: int):
         hits = np.zeros(len(found.of_word) + BLOCK + 2, dtype=np.int64)
         hits[found.blocks_at + 1] = found_in(np.unique(np.concatenate(told)), keys)[0]
         sums = np.cumsum(hits)
-        at = found.windows_at[sums[found.windows_at + WINDOW - BLOCK + 1] > sums[found.windows_at]]
-        h, bucket = found.window_keys(at, buckets)
+        near_hit = sums[found.windows_at + WINDOW - BLOCK + 1] > sums[found.windows_at]
+        at = found.windows_at[near_hit]
+        if not len(at):
+            return _table([])
+        h, bucket = found.window_keys(at, window_buckets)
         order = np.lexsort((found.ids[found.of_word[at]], h, bucket))
         h, bucket, ids = h[order], bucket[order], found.ids[found.of_word[at]][order]
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         h, bucket, ids = h[first], bucket[first].astype(np.int64), ids[first]
-        bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(h) else []
-        return _table([(g, int(bucket[i]), 0, pack(h[i:j]), pack_plain(ids[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
+        bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        rows = [(g, int(bucket[i]), 0, pack(h[i:j]), pack_plain(ids[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        return _table([*rows, (g, g % window_buckets, 1, np.packbits(near_hit).tobytes(), b"")])
 
     return ask
 
 
 def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group, the windows that an earlier document of another group has."""
+    """For each group, the windows that an earlier document of another group has; rows of kind 1 pass."""
     for bucket, rows in _by_bucket(batches):
         groups, hashes, ids = [], [], []
-        for g, _, packed, first in rows:
+        for g, kind, packed, first in rows:
+            if kind == 1:
+                yield _table([(g, bucket, 1, packed, b"")]).to_batches()[0]
+                continue
             groups.append(g)
             hashes.append(unpack(packed, np.uint64))
             ids.append(unpack_plain(first, np.int64))
+        if not groups:
+            continue
         every, least = np.concatenate(hashes), np.concatenate(ids)
         order = np.argsort(every, kind="stable")
         distinct, at = np.unique(every[order], return_index=True)
@@ -164,7 +181,32 @@ def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield _table([(g, bucket, 0, pack(own[lost]), b"")]).to_batches()[0]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_SPAN = pa.struct([("first", pa.int32()), ("words", pa.int32())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(_SPAN))])
+_OUT_DDL = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<first:int,words:int>>"
+
+
+def _extended(found: Passages, answers: pa.Table, buckets: int) -> np.ndarray:
+    """Places of the windows around hits that have an earlier owner, in this group or, by the answers, in another."""
+    rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "keys")), strict=True))
+    near_hit = next((np.unpackbits(np.frombuffer(keys, np.uint8), count=len(found.windows_at)).astype(bool) for kind, _, keys in rows if kind == 1), None)
+    if near_hit is None:
+        return found.windows_at[:0]
+    at = found.windows_at[near_hit]
+    h, bucket = found.window_keys(at, buckets)
+    ids = found.ids[found.of_word[at]]
+    order = np.lexsort((ids, h, bucket))
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    least = np.empty(len(h), dtype=np.int64)
+    least[order] = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+    lost = ids > least
+    told = [(b, keys) for kind, b, keys in rows if kind == 0]
+    bounds = np.searchsorted(bucket[order], np.array([[b, b + 1] for b, _ in told], dtype=np.uint64).reshape(-1, 2))
+    for (i, j), (_, keys) in zip(bounds.tolist(), told, strict=True):
+        own = order[i:j]
+        lost[own] |= found_in(unpack(keys, np.uint64), h[own])[0]
+    return at[lost]
 
 
 def _remove(buckets: int):
@@ -172,23 +214,18 @@ def _remove(buckets: int):
         if not table.num_rows:
             return _OUT.empty_table()
         found = Passages(table)
-        at = found.windows_at
-        h, bucket = found.window_keys(at, buckets)
-        ids = found.ids[found.of_word[at]]
-        order = np.lexsort((ids, h, bucket))
-        first = np.ones(len(h), dtype=bool)
-        first[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-        least = np.empty(len(h), dtype=np.int64)
-        least[order] = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else 0
-        lost = ids > least
-        for b, keys in zip(answers.column("bucket"), answers.column("keys"), strict=True):
-            own = np.flatnonzero(bucket == b.as_py())
-            lost[own] |= found_in(unpack(keys.as_py(), np.uint64), h[own])[0]
+        lost = _extended(found, answers, buckets)
         steps = np.zeros(len(found.of_word) + WINDOW + 1, dtype=np.int64)
-        np.add.at(steps, at[lost], 1)
-        np.add.at(steps, at[lost] + WINDOW, -1)
+        steps[lost] += 1
+        np.subtract.at(steps, lost + WINDOW, 1)
         gone = np.cumsum(steps)[: len(found.of_word)] > 0
         removed = np.bincount(found.of_word[gone], minlength=len(found.texts))
+        # a run of windows, one word apart in one document, is one maximal repeat
+        new = np.ones(len(lost), dtype=bool)
+        new[1:] = (np.diff(lost) != 1) | (found.of_word[lost][1:] != found.of_word[lost][:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(begin, append=len(lost)) + WINDOW - 1
+        owner = found.of_word[lost[begin]]
         raw, w = found.words.raw, found.words
         kept = []
         for d, n in enumerate(removed):
@@ -198,21 +235,27 @@ def _remove(buckets: int):
                 kept.append(b" ".join([raw[a:b] for a, b in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
             else:
                 kept.append(b" ".join(found.texts[d].split()))
-        columns = [table.column("doc_id").combine_chunks(), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(found.texts)))]).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array((lost[begin] - w.first[owner]).astype(np.int32)), pa.array(size.astype(np.int32))], fields=list(_SPAN))
+        columns = [
+            pa.array(found.ids, pa.int64(), mask=~found.known), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)),
+            pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets), spans),
+        ]
         return pa.Table.from_arrays(columns, schema=_OUT)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by a blank): one row per document."""
-    dealt, buckets = deal(docs)
-    by_group = dealt.groupBy("g")
+def remove_repeats(docs: DataFrame, index_bytes: int = INDEX_BYTES, candidate_bytes: int = CANDIDATE_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by a blank), repeats (first word and number of words of each maximal repeat): one row per document."""
+    dealt = deal(docs)
+    buckets, window_buckets = dealt.buckets(index_bytes), dealt.buckets(candidate_bytes)
+    by_group = dealt.rows.groupBy("g")
     asked = by_group.applyInArrow(_ask_blocks(buckets), _ASKED_DDL)
-    answers = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "g").mapInArrow(_answer_blocks, _ASKED_DDL)
-    windows = by_group.cogroup(answers.groupBy("g")).applyInArrow(_ask_windows(buckets), _ASKED_DDL)
-    lost = windows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer_windows, _ASKED_DDL)
-    return by_group.cogroup(lost.groupBy("g")).applyInArrow(_remove(buckets), "doc_id long, n_words long, n_removed long, kept string")
+    answers = map_arrow(dealt.by_bucket(asked, buckets, "kind", "g"), _answer_blocks, _ASKED_DDL)
+    windows = by_group.cogroup(answers.groupBy("g")).applyInArrow(_ask_windows(buckets, window_buckets), _ASKED_DDL)
+    lost = map_arrow(dealt.by_bucket(windows, window_buckets, "g"), _answer_windows, _ASKED_DDL)
+    return by_group.cogroup(lost.groupBy("g")).applyInArrow(_remove(window_buckets), _OUT_DDL)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ equal anchors, at equal places.
 (1) Groups of documents report anchor and content hash of their segments. An anchor with one segment holds no repeat; a content that
 occurs twice or more is repeated as a whole, whatever the number of its copies. (2) Where different contents share an anchor, each
 content is sent once to the task of that anchor, which sorts the suffixes of such contents by two-stage sorting (module
-``suffix_array``) and finds the strings whose neighbour in that order shares ``WINDOW`` bytes. Anchors with more than ``HOT``
-contents, as a phrase of a third of all documents has, are split: their strings are counted one by one by hash over all tasks,
-each group reporting a string once. (3) Documents lose what their repeated strings cover.
+``suffix_array``) and finds the strings whose common prefix with a neighbour in that order has ``WINDOW`` bytes. Anchors with more than ``HOT``
+contents, as a phrase of a third of all documents has, would sort in one task what no task can hold; their strings go to tasks by
+their hash instead, each group reporting a string once, and equal strings meet there. That is another way to the same rows, tested against brute force
+with ``hot`` from 2 up. (3) Documents lose what their repeated strings cover.
 
 Contents and strings are told apart by 64-bit hashes. Strings are judged on the input. Null text is empty; doc_id takes no part in
 the matching, so repeated rows are repeats of each other and a null id is one like any other. Other columns are ignored; an empty
-table gives no rows.
+table gives no rows. Memory: a group of ``groups.GROUP_BYTES`` or its longest text (in parts of 1 MB), at some 60 bytes for each byte of a part.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE_CODE, mix, powers, prefix_hash, read_table, span_hash, sub_batches
+from tessera.llm.common import _BYTE_CODE, map_arrow, mix, powers, prefix_hash, read_table, span_hash, sub_batches
 from tessera.llm.groups import deal, found_in, pack_plain, texts_and_ids, unpack_plain
 from tessera.llm.suffix_array import repeated_windows
 
 WINDOW, GRAM = 400, 128
 #: Contents of one anchor that go to one suffix array at most, and bytes of text that it is made of (whole anchors, so a little more).
 HOT, BATCH = 256, 1 << 20
-_PLACE = np.uint64((1 << 27) - 1)
+#: Bytes of text whose segments' keys, or split strings' hashes at most, meet in one bucket.
+SEGMENT_BYTES, SPLIT_BYTES = 128 << 20, 8 << 20
+#: Low bits of a gram's hash that give way to its place: texts of up to 4 GB, more than an Arrow string holds.
+_PLACE = np.uint64((1 << 32) - 1)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -306,12 +310,16 @@ def _remove(window: int, gram: int):
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay): one row per document."""
-    dealt, buckets = deal(docs)
-    by_group = dealt.groupBy("g")
+    dealt = deal(docs)
+    buckets, split_buckets = dealt.buckets(SEGMENT_BYTES), dealt.buckets(SPLIT_BYTES)
+    by_group = dealt.rows.groupBy("g")
     asked = by_group.applyInArrow(_ask(window, gram, buckets), _ASKED_DDL)
-    told = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "g").mapInArrow(_answer(hot), _TOLD_DDL)
-    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_send(window, gram, buckets), _MOVED_DDL)
-    found = sent.repartition("kind", "key").sortWithinPartitions("kind", "key", "g").mapInArrow(_sort(window), _MOVED_DDL)
+    told = map_arrow(dealt.by_bucket(asked, buckets, "g"), _answer(hot), _TOLD_DDL)
+    sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_send(window, gram, split_buckets), _MOVED_DDL)
+    # buckets of split strings are many rows each, so they are dealt in turn; keys of the other kinds by hash
+    turn = F.when(F.col("kind") == 2, F.col("key")).otherwise(F.xxhash64("key"))
+    spread = sent.repartitionById(dealt.parts, F.pmod(turn, F.lit(dealt.parts)).cast("int"))
+    found = map_arrow(spread.sortWithinPartitions("kind", "key", "g"), _sort(window), _MOVED_DDL)
     return by_group.cogroup(found.groupBy("g")).applyInArrow(_remove(window, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -53,9 +53,25 @@ def test_same_as_brute_force(spark, seed):
     assert sum(x[2] > 0 for x in got) > 20
 
 
+@pytest.mark.parametrize(("index_bytes", "candidate_bytes"), [(1 << 30, 100), (2000, 1 << 30), (500, 300)])
+def test_any_number_of_buckets_gives_the_same_rows(spark, index_bytes, candidate_bytes):
+    rows = made(4)
+    found = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), index_bytes, candidate_bytes).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found), key=str) == brute(rows)
+
+
+def test_hits_are_extended_to_maximal_repeats(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    one, two = [word() for _ in range(90)], [word() for _ in range(61)]
+    rows = [(1, " ".join([*one, *two])), (2, " ".join([word(), *one, word(), *two[:50], word()])), (3, " ".join([*[word() for _ in range(7)], *one[20:70], *two])), (4, " ".join(one[:49]))]
+    got = {x.doc_id: [tuple(s) for s in x.repeats] for x in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(1, 90), (92, 50)], 3: [(7, 50), (57, 61)], 4: []}
+
+
 def test_empty_and_short(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    assert [tuple(r) for r in sd.remove_repeats(docs).collect()] == [(1, 3, 0, "a b c")]
+    assert [tuple(r) for r in sd.remove_repeats(docs).collect()] == [(1, 3, 0, "a b c", [])]
     assert sd.remove_repeats(docs.limit(0)).count() == 0
 
 
