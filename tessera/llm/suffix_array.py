@@ -169,8 +169,7 @@ def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
     order = order[whole[order]]
     repeated = np.zeros(len(t), dtype=bool)
     if len(order) > 1:
-        reach = text.span(order, window)
-        same = reach[1:] == reach[:-1]  # the common prefix of neighbours has at least ``window`` symbols
+        same = text.common(order[:-1], order[1:], np.zeros(len(order) - 1, dtype=np.int64)) >= window
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
     return [repeated[a : a + max(0, n - window + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
