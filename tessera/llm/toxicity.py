@@ -1,17 +1,21 @@
 """Operator 4: toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text passes composed transducers. The lexical one writes a symbol for each token: a learned insult (strong or fair), an insult of
-the public seed list, a threat, a target, a negation, a speech verb, a quotation mark, the end of a clause, or any other word.
-Over that string of symbols, negation turns insults and threats within its reach into negated ones, reported speech does so for
-what is quoted or told, and targets bind the insults and threats near them. What the last transducer leaves is counted, clause
-by clause, and weighed by a logistic regression: the score.
+A text is cut into clauses, and each clause passes a cascade of finite-state transducers. The lexical one writes a symbol for each token: a
+learned insult (strong or fair), an insult of the public seed list, a threat, a target, a negation, a speech verb, a quotation mark, or any
+other word. One that reads from the right marks what has a target close behind it and which quotation marks are closed again. Three
+that read from the left and are composed into a single machine (:func:`compose`) mark insults and threats as negated (behind a
+negation), reported (behind a speech verb or in a quotation) or aimed (close to a target). An arc that writes an insult or threat has a
+weight: that of its kind, times the factor of its context. Factors are bounded: being aimed raises a weight, being negated or
+reported lowers it. A clause's weight W is the sum along its path, its chance of being toxic 1 - exp(-W), and a
+text's score is the chance that one of its clauses is, with a small chance for what no clause shows.
 
 Labels serve twice, both on a sample of at most ``SAMPLE`` labelled documents outside fold 0 (a documented bound): they say which
 words and word beginnings are insults of this corpus (by how many different contexts they have in toxic and other documents,
-so that copies of one document count once for each partition), and they fit the weights. Scores depend on the text alone.
+so that copies of one document count once for each partition), and they fit the weights, which are pulled towards those that hold
+without labels: what the sample does not show keeps them. Scores depend on the text alone.
 
 Null and empty texts have no clauses and get the score of such a text. Without toxic or without other labelled documents the
-weights are those of the seed list. Repeated rows give repeated rows; other columns are ignored.
+weights are those that hold without labels. Repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fit_logistic, fold_of, labelled_sample, read_table, texts_of
+from tessera.llm.common import cut, fold_of, labelled_sample, map_arrow, read_table, texts_of
 
 #: Labelled documents that the lexicon and the weights are learned from, at most.
 SAMPLE = 10_000
 #: Partitions of the sample; an insult must have more contexts than copies of one text could give it.
 SAMPLE_PARTS, LEAST_CONTEXTS = 8, 12
-LEAST_ODDS, STRONG_ODDS = 3.0, 5.0
+#: Log odds of fair and of strong insults; the second was chosen by agreement on documents outside fold 0.
+LEAST_ODDS, STRONG_ODDS = 3.0, 6.0
 #: Entries of the learned lexicon, at most: those with the most contexts.
 LEXICON = 4096
 #: Lengths of word beginnings that may be learned besides whole words.
@@ -48,16 +53,122 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]|[\"“”«»]")
 _ENDS = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
 
-# Symbols: I strong, J fair, K seed insult; T threat; U target; N negation; R speech verb; Q quotation mark; B clause end; o other.
-# Written by the transducers: n negated, r reported; A, C, D targeted I, J, K; X targeted threat.
-_FLAT = str.maketrans("IJKT", "nnnn")
-_TOLD = str.maketrans("IJKTn", "rrrrr")
-_AIMED = str.maketrans("IJKT", "ACDX")
-_NEGATED = re.compile(r"N[^BQN]{0,3}?[IJKT]")
-_REPORTED = re.compile(r"R[^BQ]{0,12}[IJKTn]|Q[^BQ]{0,60}Q")
-_TARGETED = re.compile(r"U[^BQ]{0,4}?[IJKT]|[IJKT][^BQIJKT]{0,2}?U")
-_COUNTED = "IJKTACDXnr"
-N_FEATURES = len(_COUNTED) + 2
+KINDS = "IJKT"  # strong, fair and seed insult; threat
+#: Other symbols: U target, N negation, R speech verb, Q quotation mark, o any other word; and B, the end of a clause.
+_OTHERS = "UNRQo"
+#: What a context makes of a kind: plain, aimed, negated, reported; and the letters that :func:`transduce` writes for them.
+PLAIN, AIMED, NEGATED, REPORTED = range(4)
+_LETTERS = {PLAIN: "IJKT", AIMED: "ACDX", NEGATED: "nnnn", REPORTED: "rrrr"}
+#: Words that a negation, a speech verb and a target reach ahead, and that a target may follow behind.
+NEGATION_REACH, SPEECH_REACH, TARGET_REACH, TARGET_BEHIND = 4, 13, 5, 3
+
+Table = dict[tuple[int, str], tuple[int, str]]
+
+
+def _table(states: int, alphabet: list[str], step) -> Table:
+    """The arcs (state, symbol read) -> (next state, symbol written) of a machine that starts in state 0."""
+    return {(s, a): step(s, a) for s in range(states) for a in alphabet}
+
+
+def compose(first: Table, second: Table) -> Table:
+    """One machine that does what ``second`` does with the output of ``first``: states are pairs, numbered as they are reached."""
+    numbers, waiting, out = {(0, 0): 0}, [(0, 0)], {}
+    alphabet = sorted({a for _, a in first})
+    while waiting:
+        pair = waiting.pop()
+        for a in alphabet:
+            s, between = first[pair[0], a]
+            t, written = second[pair[1], between]
+            if (s, t) not in numbers:
+                numbers[s, t] = len(numbers)
+                waiting.append((s, t))
+            out[numbers[pair], a] = numbers[s, t], written
+    return out
+
+
+# An insult or threat is its kind and a mark: "." plain, ">" a target close behind, "-" negated, "~" reported, "!" aimed.
+_PLAIN_MARKS = [k + m for k in KINDS for m in ".>"]
+
+
+def _behind(state: int, a: str) -> tuple[int, str]:
+    """From the right. State: words since a target (0: none close), and 8 more if a quotation mark has been met."""
+    near, quoted = state & 7, state & 8
+    if a == "Q":
+        return 8, "(" if quoted else "Q"
+    if a == "U":
+        return quoted | 1, a
+    if a in KINDS:
+        return quoted, a + (">" if near else ".")
+    return quoted | (near + 1 if 0 < near < TARGET_BEHIND else 0), a
+
+
+def _negation(state: int, a: str) -> tuple[int, str]:
+    """State: words that the last negation still reaches."""
+    if a == "N":
+        return NEGATION_REACH, a
+    if a in ("Q", "("):
+        return 0, a
+    return max(0, state - 1), a[0] + "-" if state and a in _PLAIN_MARKS else a
+
+
+def _report(state: int, a: str) -> tuple[int, str]:
+    """State: words that the last speech verb still reaches, or beyond that inside a quotation."""
+    inside = SPEECH_REACH + 1
+    if a in ("Q", "("):
+        return inside if a == "(" and state != inside else 0, a
+    if state == inside:
+        return inside, a[0] + "~" if a[0] in KINDS else a
+    if a == "R":
+        return SPEECH_REACH, a
+    return max(0, state - 1), a[0] + "~" if state and a[0] in KINDS else a
+
+
+def _target(state: int, a: str) -> tuple[int, str]:
+    """State: words that the last target still reaches."""
+    if a == "U":
+        return TARGET_REACH, a
+    if a in ("Q", "("):
+        return 0, a
+    return max(0, state - 1), a[0] + "!" if a[1:] == ">" or (state and a[1:] == ".") else a
+
+
+BEHIND = _table(16, [*KINDS, *_OTHERS], _behind)
+_READ = [*_PLAIN_MARKS, *_OTHERS, "("]
+_NEGATED = [*_READ, *[k + "-" for k in KINDS]]
+_TOLD = [*_NEGATED, *[k + "~" for k in KINDS]]
+CASCADE = (_table(NEGATION_REACH + 1, _READ, _negation), _table(SPEECH_REACH + 2, _NEGATED, _report), _table(TARGET_REACH + 1, _TOLD, _target))
+GRAMMAR = compose(compose(CASCADE[0], CASCADE[1]), CASCADE[2])
+_CONTEXTS = {".": PLAIN, "!": AIMED, "-": NEGATED, "~": REPORTED}
+_HIT = re.compile(f"[{KINDS}]")
+N_ARCS = len(KINDS) * len(_CONTEXTS)
+
+
+def run(table: Table, symbols: list[str]) -> list[str]:
+    """What a machine writes for some symbols."""
+    state, out = 0, []
+    for a in symbols:
+        state, written = table[state, a]
+        out.append(written)
+    return out
+
+
+def parse(clause: str) -> list[str]:
+    """The symbols of a clause with the marks of its insults and threats."""
+    return run(GRAMMAR, run(BEHIND, list(clause[::-1]))[::-1])
+
+
+def transduce(symbols: str) -> str:
+    """The symbols of a text with a letter for each insult or threat in its context (``_LETTERS``)."""
+
+    def letter(a: str) -> str:
+        return _LETTERS[_CONTEXTS[a[1]]][KINDS.index(a[0])] if a[0] in KINDS else "Q" if a == "(" else a
+
+    return "B".join("".join(map(letter, parse(clause))) for clause in symbols.split("B"))
+
+
+def arcs_of(clause: str) -> list[int]:
+    """Numbers (kind, context) of the weighted arcs on the path of a clause."""
+    return [KINDS.index(a[0]) * len(_CONTEXTS) + _CONTEXTS[a[1]] for a in parse(clause) if a[0] in KINDS]
 
 
 class Lexicon(dict):
@@ -88,22 +199,46 @@ def terms(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
 
 
-def transduce(symbols: str) -> str:
-    """Negation, then reported speech, then targets."""
-    symbols = _NEGATED.sub(lambda m: m[0].translate(_FLAT), symbols)
-    symbols = _REPORTED.sub(lambda m: m[0].translate(_TOLD), symbols)
-    return _TARGETED.sub(lambda m: m[0].translate(_AIMED), symbols)
+def clauses(text: str, lexicon: Lexicon) -> list[list[int]]:
+    """The weighted arcs of each clause that has any."""
+    symbols = "".join(map(lexicon.__getitem__, _TOKEN.findall(text.lower())))
+    return [arcs_of(clause) for clause in symbols.split("B") if _HIT.search(clause)] if _HIT.search(symbols) else []
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Logarithms of how many clauses of each kind there are, their share of all, and whether there is any at all."""
-    symbols = "".join(map(lexicon.__getitem__, _TOKEN.findall(text.lower())))
-    if not any(s in symbols for s in "IJKT"):
-        return [0.0] * N_FEATURES
-    written = transduce(symbols)
-    counts = [written.count(s) for s in _COUNTED]
-    hits = sum(counts[:8])
-    return [*[math.log1p(c) for c in counts], math.sqrt(hits / max(1, len(symbols))), float(hits > 0)]
+#: Logarithms of the weights that hold without labels: of the four kinds, of what being aimed adds to an insult and to a threat (times its
+#: weight), logits of the factors of negation and report, and the logarithm of the weight of a text without any. A pull for each keeps them near.
+PRIOR = np.array([*np.log([1.0, 0.5, 0.5, 0.15]), *np.log([0.5, 5.0]), -2.0, -1.5, math.log(0.01)])
+PULL = np.array([1.0, 1.0, 4.0, 4.0, 10.0, 10.0, 10.0, 10.0, 0.1])
+
+
+def arc_weights(theta: np.ndarray) -> tuple[np.ndarray, float]:
+    """The weight of each arc, and that of a text without any: aimed above plain, negated and reported below, whatever the parameters."""
+    kinds, lowered = np.exp(theta[:4]), 1 / (1 + np.exp(-theta[6:8]))
+    raised = 1 + np.exp(theta[[4, 4, 4, 5]])
+    return np.column_stack([kinds, kinds * raised, kinds * lowered[0], kinds * lowered[1]]).ravel(), float(np.exp(theta[8]))
+
+
+def chance(weights: list[float]) -> float:
+    """The chance that one of some clauses is toxic, from their weights."""
+    return -math.expm1(-sum(weights))
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Parameters of greatest likelihood under the pull; ``x`` counts the arcs of each document. Rows that are alike are taken once, with their number."""
+    rows, n = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    x, y = rows[:, :-1], rows[:, -1]
+
+    def loss(theta: np.ndarray) -> float:
+        weights, rest = arc_weights(theta)
+        p = np.clip(-np.expm1(-(x @ weights + rest)), 1e-9, 1 - 1e-9)
+        return float(-(n * np.where(y > 0, np.log(p), np.log1p(-p))).sum() + 0.5 * (PULL * (theta - PRIOR) ** 2).sum())
+
+    theta, first, second, small = PRIOR.copy(), np.zeros(len(PRIOR)), np.zeros(len(PRIOR)), 1e-4 * np.eye(len(PRIOR))
+    for step in range(1, steps + 1):
+        slope = np.array([loss(theta + e) - loss(theta - e) for e in small]) / 2e-4
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        theta = theta - 0.1 * (1 - step / (steps + 1)) * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    return theta
 
 
 def _contexts(sample: DataFrame) -> DataFrame:
@@ -122,15 +257,14 @@ def _contexts(sample: DataFrame) -> DataFrame:
                         near = hash(after)
                         for term in terms(word):
                             into.setdefault(term, set()).add(near)
-        # what no toxic document of this partition has is needed only if another partition's has it: its count stays
-        every = [*seen[1], *(t for t in seen[0] if t not in seen[1] and len(seen[0][t]) > 1)]
+        every = [*seen[1], *(t for t in seen[0] if t not in seen[1])]
         for i in range(0, len(every), 50_000):
             part = every[i : i + 50_000]
             columns = [[len(seen[k].get(t, ())) for t in part] for k in (1, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["term", "toxic", "other"])
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([totals[1]], pa.int64()), pa.array([totals[0]], pa.int64())], ["term", "toxic", "other"])
 
-    return sample.select("text", "label").mapInArrow(work, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return map_arrow(sample.select("text", "label"), work, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -145,39 +279,40 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r.term: r.odds for r in rows.orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()}
 
 
-def _with_features(rows: DataFrame, learned: dict[str, float]) -> DataFrame:
+def _with_arcs(rows: DataFrame, learned: dict[str, float]) -> DataFrame:
+    """label, x: how often each weighted arc is on the paths of a document's clauses."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(learned)
         for batch in batches:
-            values = [features(t, lexicon) for t in texts_of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["label", "x"])
+            values = [np.bincount([a for clause in clauses(t, lexicon) for a in clause], minlength=N_ARCS).tolist() for t in texts_of(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.list_(pa.int64()))], ["label", "x"])
 
-    return rows.select("text", "label").mapInArrow(work, "label int, x array<double>")
+    return map_arrow(rows.select("text", "label"), work, "label int, x array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[str, float], list[float]]:
-    """The learned lexicon and the weights of the clause kinds."""
+    """The learned lexicon and the parameters of the weights (as :func:`arc_weights` takes them)."""
     sample = cut(labelled_sample(docs, labels, label, SAMPLE).repartition(SAMPLE_PARTS, "doc_id"))
     learned = learn_lexicon(sample)
-    rows = _with_features(sample, learned).collect()  # SAMPLE rows of a dozen numbers, at most (more only if ids repeat)
-    x = np.array([r.x for r in rows]).reshape(-1, N_FEATURES)
+    rows = _with_arcs(sample, learned).collect()  # SAMPLE rows of a dozen numbers, at most (more only if ids repeat)
+    x = np.array([r.x for r in rows], dtype=float).reshape(-1, N_ARCS)
     y = np.array([r.label > 0 for r in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return learned, [*[{"n": 0.0, "r": 0.0}.get(s, 2.0) for s in _COUNTED], 0.0, 0.0, -2.5]
-    return learned, fit_logistic(x, y).tolist()
+    return learned, (PRIOR if not len(y) or y.min() == y.max() else fit_weights(x, y)).tolist()
 
 
 def score(docs: DataFrame, learned: dict[str, float], weights: list[float]) -> DataFrame:
     """doc_id, score: one row per document."""
+    by_arc, rest = arc_weights(np.array(weights))
+    by_arc = by_arc.tolist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = Lexicon(learned), np.array(weights)
+        lexicon = Lexicon(learned)
         for batch in batches:
-            x = np.array([features(t, lexicon) for t in texts_of(batch.column(1))]).reshape(-1, N_FEATURES)
-            scores = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            scores = [chance([rest, *(sum(map(by_arc.__getitem__, clause)) for clause in clauses(t, lexicon))]) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, score double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
