@@ -2,9 +2,9 @@
 
 Base rules count what stands in one text. The cross-document rule hashes normalised lines (lower case, runs of white space as one
 blank), counts for each host in how many different texts a line stands, and removes lines that stand in more than
-``MIN_TEXTS`` texts and in more than ``SHARE`` of the host's texts from all of them but the first (least doc_id), so that one copy of a
-popular text survives. A document of whose characters in lines more than ``DEPLETED`` are removed is rejected. ``judge`` gives counts and
-verdicts, ``kept_documents`` the documents with the lines removed.
+``MIN_TEXTS`` of them from all but the first (least doc_id), so that one copy of a popular text survives. The limit is a number and no share:
+a line's verdict does not loosen as its host grows. A document of whose characters in lines more than ``DEPLETED`` are removed is
+rejected. ``judge`` gives counts and verdicts, ``kept_documents`` the documents with the lines removed.
 
 The host of ``documents`` is its ``source``; a null source is a host of its own. Equal texts of one host count once, so repeated rows and
 exact copies do not make a line frequent. Null text is empty (it has no words, so base rules reject it); a null doc_id is never
@@ -12,7 +12,7 @@ first. Columns other than doc_id, text and source are ignored. An empty table gi
 
 Scale: a text is read twice and never shuffled. Lines are distinct per document and summed per task before they are shuffled by
 (line, text), so a line that stands in a third of all documents is counted in partial sums; the frequent ones, few by the limit,
-meet the lines again under ``SALTS`` salts. Hosts' sizes meet only frequent lines, salted as well.
+meet the lines again under salts, whose number follows the shuffle's partitions (:func:`salts`), so a hot line is dealt to a fixed share of all tasks.
 """
 
 from __future__ import annotations
@@ -20,27 +20,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read_table
+from tessera.llm.common import cut, read_table, shuffle_partitions
 
-MIN_TEXTS, SHARE, DEPLETED = 20, 0.1, 0.7
+MIN_TEXTS, DEPLETED = 20, 0.7
 MIN_WORDS, MAX_REPEATED = 10, 20
-SALTS = 16  # a power of two
 BROADCAST_LINES = 1_000_000
 _BLANKS = r"[\x20\x09-\x0D]+"
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 
 
-def _repeated(keys: Column, bits: Column) -> Column:
-    """Places of windows whose hash occurs twice: neighbours in the sorted keys (hash above, place in the low bits)."""
-    n = F.size(keys)
+def salts(docs: DataFrame) -> int:
+    """Tasks that a hot line or text is dealt to: a power of two, 16 or a tenth of the shuffle's partitions."""
+    return 1 << max(4, (shuffle_partitions(docs.sparkSession) // 10).bit_length())
+
+
+def _salts(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt")
 
-    def same(x: Column, other: Column) -> Column:
-        return F.call_function("shiftright", x, bits) == F.call_function("shiftright", other, bits)
+
+def _repeated(keys: Column) -> Column:
+    """Windows (hash, place) whose hash occurs twice: neighbours in the sorted array."""
+    n = F.size(keys)
 
     def twice(x: Column, k: Column) -> Column:
-        before = (k > 0) & same(x, F.get(keys, k - 1))
-        return F.coalesce(before, F.lit(False)) | F.coalesce((k < n - 1) & same(x, F.get(keys, k + 1)), F.lit(False))
+        before = (k > 0) & (x["h"] == F.get(keys, k - 1)["h"])
+        return F.coalesce(before, F.lit(False)) | F.coalesce((k < n - 1) & (x["h"] == F.get(keys, k + 1)["h"]), F.lit(False))
 
     return F.filter(keys, twice)
 
@@ -48,7 +53,7 @@ def _repeated(keys: Column, bits: Column) -> Column:
 def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, host, text key and the base counts of every document, and if ``whole`` its row as the struct ``row`` and a number ``nth``.
 
-    Repeated windows are found by sorting one array of 64-bit keys in each row, so a long text costs n log n and nothing is exploded.
+    Repeated windows are found by sorting one array of 64-bit hashes and places in each row, so a long text costs n log n and nothing is exploded.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), text.alias("text"), *[F.struct(*docs.columns).alias("row")] * whole)
@@ -56,18 +61,13 @@ def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_NOT_BLANK))
     rows = rows.withColumns({"words": words, "lines": lines, "text_key": F.xxhash64("host", "text"), "n_symbols": F.regexp_count("text", F.lit(_SYMBOLS)).cast("long")})
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    bits = F.length(F.bin("n_words")).cast("int")
     places = F.when(F.col("n_words") >= 5, F.sequence(F.lit(0), (F.col("n_words") - 5).cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def key(i: Column) -> Column:
-        window = F.xxhash64(*[F.get("words", i + j) for j in range(5)])
-        return F.call_function("shiftleft", window, F.col("bits")).bitwiseOR(i.cast("long"))
-
-    rows = rows.withColumn("bits", bits).withColumn("keys", F.sort_array(F.transform(places, key)))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    rows = rows.withColumn("mask", mask)
-    found = F.sort_array(F.transform(_repeated(F.col("keys"), F.col("bits")), lambda x: x.bitwiseAND(F.col("mask"))))
-    rows = rows.withColumn("found", found)
+        return F.struct(F.xxhash64(*[F.get("words", i + j) for j in range(5)]).alias("h"), i.alias("i"))
+
+    rows = rows.withColumn("keys", F.sort_array(F.transform(places, key)))
+    rows = rows.withColumn("found", F.sort_array(F.transform(_repeated(F.col("keys")), lambda x: x["i"].cast("long"))))
     gaps = F.transform("found", lambda x, k: F.least(F.lit(5).cast("long"), F.coalesce(F.get("found", k + 1) - x, F.lit(5).cast("long"))))
     return rows.select(
         "doc_id", "host", "text_key", "n_words",
@@ -98,26 +98,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.groupBy("line", "text_key").agg(F.max("host").alias("host"), F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
 
 
-def frequent_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """line, keeper (least doc_id that has it) of the lines above both limits; ``sizes``: host, texts."""
-    # salts by bits, not by a remainder (which might be null, and so would be filtered below the sums on one side only), and
-    # the sum of characters, never zero, make this and the later use of ``lines`` read the same rows and columns, so both share one shuffle
+def frequent_lines(lines: DataFrame) -> DataFrame:
+    """line, keeper (least doc_id that has it) of the lines above the limit."""
+    # the greatest host and the sum of characters, never null or zero, make this and the later use of ``lines`` read the same rows and
+    # columns, so both share one shuffle
     measures = [F.count(F.lit(1)).alias("n"), F.max("host").alias("host"), F.min("first_id").alias("keeper"), F.sum("chars").alias("chars")]
-    counted = lines.groupBy("line").agg(*measures).where((F.col("n") > MIN_TEXTS) & (F.col("chars") > 0))
-    salted = counted.withColumn("salt", F.col("line").bitwiseAND(F.lit(SALTS - 1)))
-    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"]).where(F.col("n") > SHARE * F.col("texts")).select("line", "keeper")
+    counted = lines.groupBy("line").agg(*measures)
+    return counted.where((F.col("n") > MIN_TEXTS) & (F.col("chars") > 0) & F.col("host").isNotNull()).select("line", "keeper")
 
 
 def _removed(docs: DataFrame, which: bool = False) -> DataFrame:
     """text_key, removed_chars of each text that loses lines, and if ``which`` the array ``lost`` of those lines."""
-    lines = _lines(docs)
-    texts = docs.select(_host(docs).alias("host"), F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
-    copies = texts.groupBy("text_key").agg(F.max("host").alias("host"), F.count(F.lit(1)).alias("copies")).where(F.col("host").isNotNull() & (F.col("copies") > 0))
-    sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    spread = frequent_lines(lines, sizes).select(F.col("line").alias("key"), "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.col("text_key").bitwiseAND(F.lit(SALTS - 1)) == F.col("salt")))
-    # the host is not used here either, but see frequent_lines
+    lines, n = _lines(docs), salts(docs)
+    copies = docs.select(F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+    spread = frequent_lines(lines).select(F.col("line").alias("key"), "keeper", _salts(n))
+    # salts by bits, not by a remainder, which might be null and so would be filtered below the sums on one side only
+    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.col("text_key").bitwiseAND(F.lit(n - 1)) == F.col("salt")))
+    # the host is not used here, but see frequent_lines
     lost = met.where((F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper"))) & F.col("host").isNotNull())
     sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"), *[F.collect_list("line").alias("lost")] * which)
     return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"), *["lost"] * which)
@@ -133,8 +130,9 @@ def _kept(removed: Column) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, removed_chars, kept: one row per document."""
-    spread = _removed(docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = base_counts(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["text_key", "salt"], "left")
+    n = salts(docs)
+    spread = _removed(docs).select("*", _salts(n))
+    joined = base_counts(docs).withColumn("salt", F.xxhash64("doc_id").bitwiseAND(F.lit(n - 1))).join(spread, ["text_key", "salt"], "left")
     removed = F.coalesce("removed_chars", F.lit(0).cast("long"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
@@ -173,10 +171,8 @@ with docs as (select doc_id, coalesce(source, chr(1)) as host, coalesce(text, ''
   covered as (select doc_id, count(distinct i + j) as n_repeat_words from twice, generate_series(0, 4) g(j) group by doc_id),
   raw as (select doc_id, host, text, unnest(lines) as x from split),
   texts as (select host, text, count(*) as copies from docs group by host, text),
-  sizes as (select host, count(*) as texts from texts group by host),
   per_text as (select host, text, lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) as line, min(doc_id) as first_id, sum(length(x)) as chars from raw group by all),
-  counted as (select host, line, count(*) as n, min(first_id) as keeper from per_text group by host, line having count(*) > 20),
-  frequent as (select host, line, keeper from counted join sizes using (host) where n > 0.1 * texts),
+  frequent as (select host, line, min(first_id) as keeper from per_text group by host, line having count(*) > 20),
   lost as (select host, text, sum(chars) as chars from per_text join frequent using (host, line) where first_id is null or first_id <> keeper group by host, text),
   base as (select doc_id, host, text, len(words) as n_words, length(array_to_string(words, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) as line_chars from split)

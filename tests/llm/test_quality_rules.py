@@ -18,9 +18,6 @@ def brute(rows):
         for raw in text.split("\n"):
             if re.search(WORD, raw):
                 lines_of.setdefault((host, re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ").lower()), {})[text] = first
-    hosts = {}
-    for host, _ in texts:
-        hosts[host] = hosts.get(host, 0) + 1
     out = []
     for i, text, host in rows:
         text = text or ""
@@ -36,7 +33,7 @@ def brute(rows):
             found = lines_of[host, re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ").lower()]
             firsts = [f for f in found.values() if f is not None]
             mine = min((k for k in texts[host, text] if k is not None), default=None)
-            if len(found) > qr.MIN_TEXTS and len(found) > qr.SHARE * hosts[host] and (mine is None or mine != min(firsts, default=None)):
+            if len(found) > qr.MIN_TEXTS and (mine is None or mine != min(firsts, default=None)):
                 removed += len(raw)
         failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
         kept = not failed and not removed > qr.DEPLETED * sum(map(len, lines))
@@ -101,3 +98,18 @@ def test_kept_texts_lose_their_frequent_lines(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(expected)
     removed = {r.doc_id: r.removed_chars for r in qr.judge(docs).collect()}
     assert all(removed[i] == (len(f"  {common} ") if i < 60 and i % 3 and i != 1 else 0) for i in removed)
+
+
+def test_the_limit_does_not_loosen_as_a_host_grows(spark):
+    line = "the very same line of text stands in a small share of these texts only"
+    rows = [(i, (f"{line}\n" if i % 20 == 0 else "") + f"own {i} words of this one text, ten or more of them, number {i * 3}", "big") for i in range(600)]
+    removed = {r.doc_id: r.removed_chars for r in qr.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, n in removed.items() if n} == set(range(20, 600, 20))
+
+
+def test_window_hashes_are_told_apart_in_a_long_text(spark):
+    r = random.Random(4)
+    words = [f"{r.getrandbits(40):x}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *words[100:107]]))]
+    got = {x.doc_id: x.n_repeat_words for x in qr.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 14}
