@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read_table, small_side
+from tessera.llm.common import cut, read_table, small_side, tasks_for
 
 WINDOW, LITERALS, SIMILARITY, LEAST_HITS = 5, 3, 0.8, 3
 BROADCAST_ROWS = 1_000_000
@@ -47,6 +47,7 @@ _NAME_PATTERN = r"(?<=[\p{L}\p{N},;][\x20\x09])\p{Lu}[\p{L}\p{M}'’-]*"
 #: What is capitalised elsewhere, at the start of a sentence, line or quotation: perhaps a name.
 _START_PATTERN = r"(?<![\p{L}\p{M}\p{N}'’\x01-])(\p{Lu}[\p{L}\p{M}'’-]*)"
 _NUMBER_PATTERN = r"(?<![\p{L}\p{N}])[$€£]?[0-9]++(?:[.,:/][0-9]++)*%?(?![\p{L}\p{N}])"
+_LONE_PATTERN = r"(?<![^\x20\x09-\x0D])[\p{P}\p{S}]++(?![^\x20\x09-\x0D])"
 _UNIT_PATTERN = rf"(?<={NUMBER}[\x20\x09])(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
 
 
@@ -62,7 +63,8 @@ def _canonical(text: Column) -> Column:
 def _tokens(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and the array ``tokens`` of the column text: codes of the folded word, of the word in the second template
     and, where it differs, in the first; and a code of what a placeholder stands for (0: no placeholder in either template)."""
-    clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", "")
+    # words of punctuation alone go first, so that the words of all three readings stay side by side
+    clean = F.regexp_replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", ""), _LONE_PATTERN, "")
     frame = rows.select(*keep, clean.alias("text"))
     folded = F.regexp_replace(F.lower("text"), r"[\p{P}\p{S}]+", "")
     frame = frame.withColumns({"raw": F.split("text", _BLANKS), "canon": F.split(_canonical(F.col("text")), _BLANKS), "folded": F.split(folded, _BLANKS)})
@@ -173,7 +175,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found, the row tells of one in a template before a folded one, then of the most similar, then of the least changed.
     """
     numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    of_items = cut(windows_of_items(numbered))
+    of_items = cut(windows_of_items(numbered), tasks_for(1000 * numbered.count()))
     lengths = sorted({r["length"] for r in of_items.select("length").distinct().collect()}) or [WINDOW]  # at most WINDOW of them
     hashes = of_items.select("hash").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumns({"row": F.monotonically_increasing_id(), "text_key": F.xxhash64(F.col("text").cast("string"))})
@@ -199,7 +201,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows and columns of the documents in which no item was found."""
     leaks = small_side(find_leaks(docs, items).select(F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_key")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("leaked_key"))
+    # columns taken from their tables, so that ``docs`` may have columns of these names too
+    same = docs["doc_id"].cast("long").eqNullSafe(leaks["leaked_id"]) & (F.xxhash64(docs["text"].cast("string")) == leaks["leaked_key"])
     return docs.join(leaks, same, "left_anti")
 
 

@@ -128,3 +128,9 @@ def test_names_at_starts_and_other_case(spark):
     ]
     got = {r.doc_id: r.n_changed > 0 for r in leaks(spark, docs, [(1, QUESTION)]).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_extra_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, QUESTION, 5, 6, 7), (2, FILLER, 5, 6, 7)], "doc_id long, text string, leaked_id long, leaked_key long, item_key long")
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert [tuple(r) for r in dc.without_leaks(docs, items).collect()] == [(2, FILLER, 5, 6, 7)]

@@ -1,0 +1,166 @@
+"""The whole of operator 2 in plain Python, compared on a table with planted copies and variants."""
+
+import random
+
+import pytest
+import regex
+
+from tessera.llm import decontaminate as dc
+
+FOLDED, FIRST, SECOND = dc.FOLDED, dc.FIRST, dc.SECOND
+PUNCTUATION = regex.compile(r"[\p{P}\p{S}]+")
+
+
+def tokens(text):
+    """(folded word, word or placeholder, word where that may be no name, filler) of each word."""
+    text = (text or "").replace("\x01", "").replace("\x02", "")
+    text = "".join("" if PUNCTUATION.fullmatch(x) else x for x in regex.split(f"({dc._BLANKS})", text))
+    canon = regex.sub(dc._NUMBER_PATTERN, dc.NUMBER, text)
+    canon = regex.sub(dc._NAME_PATTERN, dc.NAME, canon)
+    canon = regex.sub(dc._START_PATTERN, lambda m: dc.MARK + m[1], canon)
+    canon = regex.sub(dc._UNIT_PATTERN, dc.UNIT, canon.lower())
+    out = []
+    for c, raw, folded in zip(*(regex.split(dc._BLANKS, x) for x in (PUNCTUATION.sub("", canon), text, PUNCTUATION.sub("", text.lower()))), strict=True):
+        if c:
+            kind = dc.NAME if c.startswith(dc.MARK) else c
+            out.append((folded, kind, c[1:] if c.startswith(dc.MARK) else None, (kind, raw) if kind.startswith("\x01") else None))
+    return out
+
+
+def windows(words, n):
+    """(form, place, key, first filler, last filler, placeholders, perhaps names) of each window of n words, once for each form that it has."""
+    for i in range(len(words) - n + 1):
+        span = words[i : i + n]
+        marks, slots = sum(w[2] is not None for w in span), sum(w[3] is not None for w in span)
+        enough = min(dc.LITERALS, n)
+        sure = lambda w: w[3] if w[2] is None else None
+        yield FOLDED, i, tuple(w[0] for w in span), None, None, slots, marks
+        if slots > marks and n - slots + marks >= enough:
+            yield FIRST, i, tuple(w[2] or w[1] for w in span), sure(span[0]), sure(span[-1]), slots, marks
+        if marks and n - slots >= enough:
+            yield SECOND, i, tuple(w[1] for w in span), span[0][3], span[-1][3], slots, marks
+
+
+def entries(text):
+    """form -> {(key, place, first filler, last filler)} of an item."""
+    words = tokens(text)
+    n = min(len(words), dc.WINDOW)
+    found = {FOLDED: set(), FIRST: set(), SECOND: set()}
+    if not n:
+        return found
+    inside = [w for w in windows(tokens("x " + text.lstrip(" ")), n) if w[0] == FIRST and w[1] == 1]
+    for form, place, key, a, b, slots, marks in [*windows(words, n), *((w[0], 0, *w[2:]) for w in inside)]:
+        literal = n - slots + marks >= min(dc.LITERALS, n)
+        if form == SECOND:
+            forms = [SECOND]
+        elif form == FIRST:
+            forms = [FIRST] if marks else [FIRST, SECOND]
+        else:
+            forms = [FOLDED, FIRST, SECOND] if not slots else [FOLDED, FIRST] if slots == marks and literal else [FOLDED]
+        for f in forms:
+            found[f].add((key, place, a, b))
+    places = {f: len({e[1] for e in found[f]}) for f in found}
+    if 2 * places[SECOND] < places[FOLDED]:
+        found[SECOND] = set()
+    return found
+
+
+def judged(hits, n_windows):
+    """(places found, consistent, changed fillers) of each occurrence. ``hits``: (place in the document, place in the item, slots)."""
+    lines = {}
+    for place, at, slots in hits:
+        lines.setdefault(place - at, []).append((at, slots))
+    lines = {o: line for o, line in lines.items() if len({at for at, _ in line}) >= min(dc.LEAST_HITS, n_windows)}
+    groups, before = [], None
+    for offset in sorted(lines):
+        if before is None or 2 * (offset - before) > n_windows:
+            groups.append([])
+        groups[-1].append(offset)
+        before = offset
+    for offsets in [*groups, sorted(lines)] if lines else []:
+        best = {}
+        for offset in offsets:
+            held = len({at for at, _ in lines[offset]})
+            for at, slots in lines[offset]:
+                best[at] = max(best.get(at, (0, 0, [])), (held, -offset, slots), key=lambda x: x[:2])
+        pairs = {s for *_, slots in best.values() for s in slots}
+        one_to_one = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+        yield len(best), one_to_one, sum(a != b for a, b in pairs)
+
+
+def slow(docs, items):
+    of_items = [(i, entries(t)) for i, t in items]
+    lengths = {len(e[0]) for _, forms in of_items for e in forms[FOLDED]}
+    index = {}
+    for k, (_, forms) in enumerate(of_items):
+        for form, found in forms.items():
+            for key, at, a, b in found:
+                index.setdefault(key, []).append((k, form, at, a, b))
+    out = []
+    for doc_id, text in docs:
+        words, hits = tokens(text), {}
+        for n in lengths:
+            for _, place, key, a, b, *_ in windows(words, n):
+                for k, form, at, own_a, own_b in index.get(key, ()):
+                    slots = [(own, other) for own, other in ((own_a, a), (own_b, b)) if own]
+                    hits.setdefault((k, form), []).append((place, at, slots))
+        best = {}
+        for (k, form), found in hits.items():
+            n_windows = len({e[1] for e in of_items[k][1][form]})
+            for n_found, consistent, changed in judged(found, n_windows):
+                if consistent and n_found / n_windows >= dc.SIMILARITY:
+                    rank = (form != FOLDED, n_found / n_windows, -changed, -form, n_windows, n_found)
+                    best[k] = max(best.get(k, rank), rank)
+        out += [(doc_id, of_items[k][0], n, found, -changed) for k, (_, _, changed, _, n, found) in best.items()]
+    return sorted(out, key=str)
+
+
+NAMES, NUMBERS = ["Marta", "Ivan", "Olga", "Peter", "Lyon", "Turin", "New York", "Anna Maria"], ["5", "12", "1,300", "7.5", "240", "two hundred"]
+
+
+def planted(docs, items, seed):
+    """Documents with copies, re-parameterised questions, broken copies and stray passages put between their words."""
+    r = random.Random(seed)
+    text = lambda: r.choice(docs)[1] or ""
+    out = []
+    for n in range(400):
+        parts = [text()[: r.randrange(0, 600)]]
+        for _ in range(r.randrange(1, 4)):
+            words = (r.choice(items)[1] or "").split(" ")
+            kind = r.randrange(6)
+            if kind == 1:
+                words = [r.choice(NUMBERS) if w.strip("?.,").replace(",", "").isdigit() else r.choice(NAMES) if w[:1].isupper() and r.random() < 0.5 else w for w in words]
+            elif kind == 2:
+                words = words[: r.randrange(1, len(words) + 1)]
+            elif kind == 3:
+                words.insert(r.randrange(len(words) + 1), r.choice(["and", text()[:80], "5"]))
+            elif kind == 4:
+                words = " ".join(words).upper().split(" ") if r.random() < 0.5 else " ".join(words).lower().split(" ")
+            elif kind == 5:
+                swap = dict(zip(NAMES, r.sample(NAMES, len(NAMES)), strict=True)) | dict(zip(NUMBERS, r.sample(NUMBERS, len(NUMBERS)), strict=True))
+                words = [swap.get(w, w) for w in words]
+            parts += [" ".join(words), text()[: r.randrange(0, 200)]]
+        out.append((10_000_000 + n, r.choice([" ", "\n", ". "]).join(parts)))
+    return out
+
+
+QUESTIONS = [
+    (901, "A train from Lyon carries 240 passengers for 35 km before Marta leaves it; how many passengers does the train of Marta carry after 12 more km?"),
+    (902, "Marta has 5 apples. Marta buys 12 more apples. Marta gives 7.5 to Ivan. How many apples does Marta have now?"),
+    (903, "short item of words"),
+    (904, "Solve 3 x + 5 = 20 for x"),
+    (905, "Yes"),
+    (906, ""),
+    (907, None),
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_same_as_plain_python(spark, seed):
+    d = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    items = [*QUESTIONS, *[tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]]
+    rows = [*d, *planted(d, [i for i in items if i[1]], seed), (None, QUESTIONS[0][1]), (77, None), (78, "")]
+    found = dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(((r.doc_id, r.item_id, r.n_windows, r.n_found, r.n_changed) for r in found.collect()), key=str)
+    assert got == slow(rows, items)
+    assert len(got) > 400 and sum(r[4] > 0 for r in got) > 10
