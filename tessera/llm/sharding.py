@@ -1,6 +1,7 @@
 """Operator 5: shards of equal row counts by balanced label propagation. DataFrame functions only.
 
-Documents with equal texts are linked. Each document starts in the shard that its id hashes to; in each round linked documents move
+Documents with equal texts are linked. Each document starts in the shard that its id hashes to (without an id: its text, or
+of a text with very many copies its place in the input); in each round linked documents move
 towards the shard where most of their neighbours are, those who gain most first, as long as the shard's quota has room for
 them. What is left (documents without links, and linked ones beyond a shard's share) fills the shards up, so that their counts
 differ by at most one (law ``rows``).
@@ -8,9 +9,11 @@ differ by at most one (law ``rows``).
 Scale. Copies of one text are one vertex set, counted by (text, shard) before anything moves, so a round handles counts, not documents,
 and emits no pairs. A text with more than 1/8 of a shard's copies is dealt into pieces of that size, which move one by one but stay linked
 by their parent, a set of up to a shard's copies of the text: pieces are drawn to the shard that has most of the parent, and where that has no room
-to the shard that has most of the piece. There are at most 8 times as many such texts as shards, which bounds their broadcast. Quotas are shared out by a histogram of
+to the shard that has most of the piece. Pieces are dealt by id, or without one by place in the input;
+rows of one id and one text move as one. There are at most 8 times as many such texts as shards, which bounds their broadcast. Quotas are shared out by a histogram of
 gains (at most shards x shards x ``LEVELS`` counts, which the driver gets), not by sorting movers. Places within a shard come from one range sort with prefix
-sums over partitions. Only counts by shard and by partition reach the driver.
+sums over partitions. Only counts by shard and by partition reach the driver. ``ROUNDS`` bounds the work, not the law: :func:`cut_share` counts
+the edges that are left between shards.
 
 Null text has size 16, checksum 0 and is linked to other null texts only. Null and repeated doc_ids are documents like any other. Other
 columns are ignored; an empty table gives no rows.
@@ -34,9 +37,10 @@ def _base(docs: DataFrame, shards: int) -> DataFrame:
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     doc_id = F.col("doc_id").cast("long")
+    key = F.xxhash64(text, text.isNull())
     return docs.select(
         doc_id.alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(text, text.isNull()).alias("key"), F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int").alias("start"),
+        key.alias("key"), F.pmod(F.xxhash64(F.coalesce(doc_id, key)), F.lit(shards)).cast("int").alias("start"), F.monotonically_increasing_id().alias("nth"),
     )
 
 
@@ -48,10 +52,11 @@ def _pieces(base: DataFrame, n: int, shards: int) -> DataFrame:
     large = groups.where(F.col("n") > most).select(*_TEXT, "n", F.ceil(F.col("n") / F.lit(quota)).cast("int").alias("parents"))
     large = large.select(*_TEXT, "parents", (F.col("parents") * F.ceil(F.col("n") / (F.col("parents") * most))).cast("int").alias("parts"))
     marked = base.join(F.broadcast(large), _TEXT, "left")  # at most shards * PIECES_PER_SHARD + 1 rows
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", "nth"), F.lit(1)), F.col("parts"))
     dealt, parent = F.xxhash64(*_TEXT, part), F.xxhash64(*_TEXT, F.pmod(part, F.col("parents")), F.lit(-2))
     names = ["doc_id", "size", "text_crc32", "start"]
-    hot = marked.where(F.col("parts").isNotNull()).select(*names, dealt.alias("piece"), parent.alias("parent"))
+    start = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("nth"), F.lit(shards)).cast("int")).otherwise(F.col("start")).alias("start")
+    hot = marked.where(F.col("parts").isNotNull()).select(*names[:3], start, dealt.alias("piece"), parent.alias("parent"))
     small = groups.where(F.col("n") <= most).select(*_TEXT, F.xxhash64(*_TEXT, F.lit(-1)).alias("piece"))
     rest = marked.where(F.col("parts").isNull()).join(small, _TEXT, "left").select(*names, "piece", F.col("piece").alias("parent"))
     return hot.unionByName(rest)
@@ -167,6 +172,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     return out.select(*names, F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
+def cut_share(sharded: DataFrame, key: list[str]) -> DataFrame:
+    """edges, cut: pairs of linked documents (equal ``key`` columns), and how many of them have their ends in different shards. From counts, not from pairs."""
+    pairs = lambda n: (F.col(n) * (F.col(n) - 1) / 2).cast("long")
+    held = sharded.groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("m"))
+    groups = held.groupBy(*key).agg(F.sum("m").alias("n"), F.sum(pairs("m")).alias("inside"))
+    sums = groups.agg(F.coalesce(F.sum(pairs("n")), F.lit(0)).alias("edges"), F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"))
+    return sums.select("edges", (F.col("edges") - F.col("inside")).alias("cut"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
     return shard_documents(read_table(spark, sf_dir, "documents"))

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import pytest
@@ -72,3 +73,45 @@ def test_small_groups_of_a_small_table_stay_whole(spark):
     rows = [(i, f"six {i // 6}" if i < 120 else f"single {i}") for i in range(1000)]
     where = checked(rows, sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect(), 40)
     assert all(len(s) == 1 for s in where.values())
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_copies_without_ids_of_their_own(spark, doc_id):
+    rows = [(doc_id, "the same text") for _ in range(700)] + [(1000 + i, f"pair {i // 2}") for i in range(1300)]
+    out = sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+    counts = [sum(r.shard == s for r in out) for s in range(8)]
+    hot = [sum(r.shard == s and r.doc_id == doc_id for r in out) for s in range(8)]
+    assert counts == [250] * 8 and (doc_id is not None or sum(sorted(hot)[-3:]) >= 0.7 * 700)
+
+
+def optimum(sizes, shards):
+    """The fewest cut pairs of any assignment with counts at most one apart, by trying all of them."""
+    owner = [g for g, n in enumerate(sizes) for _ in range(n)]
+    n, best = len(owner), None
+    for places in itertools.product(range(shards), repeat=n):
+        counts = [places.count(s) for s in range(shards)]
+        if max(counts) - min(counts) <= 1:
+            cut = sum(owner[i] == owner[j] and places[i] != places[j] for i in range(n) for j in range(i))
+            best = cut if best is None else min(best, cut)
+    return best
+
+
+@pytest.mark.parametrize(("sizes", "shards"), [([3, 3, 3], 3), ([2, 2, 2, 2, 1, 1], 2), ([4, 3, 1, 1, 1], 3), ([5, 2, 2], 2)])
+def test_cut_edges_against_all_assignments(spark, sizes, shards):
+    rows = [(10 * g + k, f"text {g}") for g, n in enumerate(sizes) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sh.shard_documents(docs, shards)
+    found = sh.cut_share(out, ["text_crc32", "size"]).first()
+    where = checked(rows, out.collect(), shards)
+    places = {r.doc_id: r.shard for r in out.collect()}
+    assert found.edges == sum(n * (n - 1) // 2 for n in sizes) and len(where) == len(sizes)
+    assert found.cut == sum(a[1] == b[1] and places[a[0]] != places[b[0]] for a, b in itertools.combinations(rows, 2))
+    # a group above the least shard's size is cut even where the greatest shard would hold it
+    assert found.cut <= optimum(sizes, shards) + 1 or max(sizes) > sum(sizes) // shards
+
+
+def test_cut_edges_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = sh.cut_share(sh.shard_documents(docs), ["text_crc32", "size"]).first()
+    assert found.edges > 50 and found.cut <= 0.1 * found.edges
+    assert tuple(sh.cut_share(sh.shard_documents(docs.limit(0)), ["text_crc32", "size"]).first()) == (0, 0)
