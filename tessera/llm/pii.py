@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, texts_of
+from tessera.llm.common import map_arrow, read_table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -187,7 +187,7 @@ class Written:
     @staticmethod
     def _continues(source: str, start: int, end: int) -> bool:
         """Whether a spelled dot stands in an address: behind a word with an ``@``, or between digits."""
-        before = source[max(0, start - 64) : start].rpartition(" ")[2]
+        before = source[source.rfind(" ", 0, start) + 1 : start]
         return "@" in before or (before[-1:].isdigit() and source[end : end + 1].isdigit())
 
     @staticmethod
@@ -255,7 +255,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 rows.append([{"kind": k, "start": a, "end": b, "base": (a, b, k) in known} for a, b, k in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPANS_ARROW)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, f"doc_id long, spans {SPANS}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, f"doc_id long, spans {SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -264,12 +264,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t and redact_text(t, find_all(t)[1]) for t in batch.column(place).to_pylist()]
-            columns = [pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(work, docs.schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                texts = [t and redact_text(t, find_all(t)[1]) for t in batch.column(place).to_pylist()]
+                columns = [pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_arrow(docs, work, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

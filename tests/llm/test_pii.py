@@ -88,3 +88,9 @@ def test_documents(spark):
     assert got[None].n_added == 1 and got[None].n_email == 0
     assert sorted(str(r.text) for r in pii.redact(docs).collect()) == ["", "<EMAIL>", "None", "mail <EMAIL> and <PHONE>", "mail <EMAIL> and <PHONE>"]
     assert pii.digest(pii.find_pii(docs.limit(0))).count() == 0
+
+
+def test_long_words_before_a_spelled_dot():
+    name = "a.very-long.local_part" * 20
+    text = f"write to {name}@host dot com today"
+    assert (9, len(text) - 6, "email") in pii.find_all(text)[1]
