@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, texts_of
+from tessera.llm.common import map_arrow, read_table, texts_of
 
 #: The pre-token pattern of byte-level BPE as published with GPT-2 (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,7 +93,8 @@ class StreamingEncoder:
 
     def __init__(self, merges: Merges, cache_size: int = 200_000, block: int = 512) -> None:
         self.merges, self.ahead = merges, lookahead(merges)
-        self.window = self.ahead + block
+        # a window must let at least its first token out, however long the vocabulary's tokens are
+        self.window = self.ahead + max(block, *map(len, merges.token_bytes))
         self.cache = _Cache(self, cache_size)
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
@@ -228,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -242,7 +243,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = pa.array(["".join(decode(merges, p)) for p in packed], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(work, "doc_id long, text string")
+    return map_arrow(encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), work, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -269,7 +270,7 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

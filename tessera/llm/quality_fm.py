@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordTable, fold_of, labelled_sample, read_table, sub_batches, texts_of
+from tessera.llm.common import WordTable, fold_of, labelled_sample, map_arrow, read_table, sub_batches, texts_of
 
 #: Labelled documents that the machine is fitted on, at most.
 SAMPLE = 8_000
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine:
                 )
 
     # in the order of a hash of the content, so that the fit does not depend on partitions
-    got = sorted(rows.mapInArrow(work, "label int, stats array<double>, at binary, value binary").collect(), key=lambda r: (bytes(r.at), r.stats))
+    got = sorted(map_arrow(rows, work, "label int, stats array<double>, at binary, value binary").collect(), key=lambda r: (bytes(r.at), r.stats))
     stats = np.array([r.stats for r in got]).reshape(-1, N_STATS)
     return train(stats, [np.frombuffer(r.at, "<u2") for r in got], [np.frombuffer(r.value, "<f4") for r in got], np.array([r.label > 0 for r in got], dtype=np.float32))
 
@@ -158,7 +158,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 out[i:j] = machine.score(stats, shares)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _size(docs)).mapInArrow(work, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _size(docs)), work, "doc_id long, score double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
