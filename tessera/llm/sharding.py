@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, read_table, shuffle_partitions
+from tessera.llm.common import cut, read_table, shuffle_partitions, tasks_for
 
 SHARDS, ROUNDS, OVERHEAD = 40, 6, 16
 PIECES_PER_SHARD, LEVELS, SLACK = 8, 40, 20
@@ -48,7 +48,7 @@ def _pieces(base: DataFrame, n: int, shards: int) -> DataFrame:
     """The rows with ``piece``, the set of linked documents that moves as one, null for a document without links, and its ``parent``."""
     most = max(2, n // (shards * PIECES_PER_SHARD))
     quota = max(most, n // shards)
-    groups = cut(base.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    groups = cut(base.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), tasks_for(n))
     large = groups.where(F.col("n") > most).select(*_TEXT, "n", F.ceil(F.col("n") / F.lit(quota)).cast("int").alias("parents"))
     large = large.select(*_TEXT, "parents", (F.col("parents") * F.ceil(F.col("n") / (F.col("parents") * most))).cast("int").alias("parts"))
     marked = base.join(F.broadcast(large), _TEXT, "left")  # at most shards * PIECES_PER_SHARD + 1 rows
@@ -95,15 +95,15 @@ def grant(asked: dict[tuple[int, int, int], int], loads: list[int], quotas: list
     return shares.ravel().tolist() if asked else []
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS, tasks: int | None = None) -> DataFrame:
     """piece, parent, start, n, shard: cells (piece, start, n, and parent if there) after some rounds of moves under quotas of rows for each shard.
 
-    In each round pieces move towards their parent's shard, then what that has no room for towards the piece's own.
+    In each round pieces move towards their parent's shard, then what that has no room for towards the piece's own. Cells are kept in at most ``tasks`` files.
     """
     shards = len(quotas)
     linked_by = ["parent", "piece"] if "parent" in cells.columns else ["piece"]
     names = [*linked_by, "start", "n"]
-    cells = cut(cells.withColumn("shard", F.col("start")))
+    cells = cut(cells.withColumn("shard", F.col("start")), tasks)
     for turn in range(rounds):
         moved = False
         for key in linked_by:
@@ -117,7 +117,7 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
             moves = F.col("best.shard") != F.col("shard")
             level = F.lit(LEVELS - 1) - F.least(F.lit(LEVELS - 1), F.floor(F.log2(gain + 1)).cast("int"))
             wish = F.when(moves, F.col("best.shard"))
-            wished = cut(joined.select(*names, "shard", wish.alias("wish"), F.when(moves, level).alias("level")))
+            wished = cut(joined.select(*names, "shard", wish.alias("wish"), F.when(moves, level).alias("level")), tasks)
             asked = wished.where(F.col("wish").isNotNull()).groupBy("shard", "wish", "level").agg(F.sum("n").alias("n")).collect()  # bounded: counts by shards and level
             shares = grant({(r["shard"], r["wish"], r["level"]): r["n"] for r in asked}, loads, quotas)
             if not any(shares):
@@ -125,7 +125,7 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
             moved = True
             share = F.get(F.lit(shares), F.col("wish") * LEVELS + F.col("level"))
             lot = F.pmod(F.xxhash64("piece", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
-            cells = cut(wished.select(*names, F.when(lot < share, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
+            cells = cut(wished.select(*names, F.when(lot < share, F.col("wish")).otherwise(F.col("shard")).alias("shard")), tasks)
         if not moved:
             break
     return cells
@@ -144,12 +144,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per document."""
     base = cut(_base(docs, shards))
     n = base.count()
-    rows = cut(_pieces(base, n, shards))
+    rows = cut(_pieces(base, n, shards), tasks_for(n))
     linked = rows.where(F.col("piece").isNotNull())
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
     # a little room lets full shards exchange documents; what is too much in the end goes to the pool below
     loose = [q + q // SLACK + 1 for q in quotas]
-    cells = propagate(linked.groupBy("piece", "parent", "start").agg(F.count(F.lit(1)).alias("n")), loose, rounds)
+    cells = propagate(linked.groupBy("piece", "parent", "start").agg(F.count(F.lit(1)).alias("n")), loose, rounds, tasks_for(n))
     placed = linked.join(cells.select("piece", "start", "shard"), ["piece", "start"])  # a piece has one parent
     parts = shuffle_partitions(docs.sparkSession)
     ordered = cut(placed.repartitionByRange(parts, "shard", "parent", "piece", "doc_id").sortWithinPartitions("shard", "parent", "piece", "doc_id"))
