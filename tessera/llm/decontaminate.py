@@ -1,11 +1,12 @@
 """Operator 2: benchmark items in documents, also with other numbers, names and units. DataFrame functions only.
 
-Both sides are canonicalised alike: a capitalised word inside a sentence becomes a name, a number a number and a unit behind a number a
-unit placeholder; the rest is lower case without punctuation. A second template has names at the starts of sentences, lines and quotations
-too. Windows of ``WINDOW`` tokens with at least ``LITERALS`` tokens that are no placeholders are hashed, and besides all windows of
-the folded words (lower case without punctuation, nothing replaced), for copies in another case and items of few literals; documents' windows
-meet the items' windows in a hash join. Each of the three forms is judged by itself; the folded form compares no fillers, the second template is
-left out for items with less than half of their windows in it. Hits of one document and item are gathered by
+Both sides are canonicalised alike: a capitalised word inside a sentence becomes a name, a number in digits or spelled a number and a unit
+behind a number a unit placeholder, and neighbouring names or numbers become one ("New York", "two hundred"); the rest is lower case
+without punctuation. A second template has names at the starts of sentences, lines and quotations too. Windows of ``WINDOW`` tokens
+with at least ``LITERALS`` tokens that are no placeholders are hashed, and besides all windows of the folded words (lower case without
+punctuation, nothing replaced), for copies in another case and items of few literals; documents' windows meet the items' windows in a
+hash join. Each of the three forms is judged by itself; the folded form compares no fillers, the second template is left out for items
+of which less than half of its windows have so many literals. Hits of one document and item are gathered by
 their offset (windows in a row have one offset), offsets with too few hits are left out, offsets close to each other are one occurrence,
 and an item is found if at least ``SIMILARITY`` of its windows are in one of its occurrences, or in all of them together. What stood in
 the places of placeholders must be consistent: within an occurrence each filler has one counterpart in the document, and counterparts of different fillers of one type differ, so a question whose numbers or
@@ -48,52 +49,80 @@ _NAME_PATTERN = r"(?<=[\p{L}\p{N},;][\x20\x09])\p{Lu}[\p{L}\p{M}'’-]*"
 _START_PATTERN = r"(?<![\p{L}\p{M}\p{N}'’\x01-])(\p{Lu}[\p{L}\p{M}'’-]*)"
 _NUMBER_PATTERN = r"(?<![\p{L}\p{N}])[$€£]?[0-9]++(?:[.,:/][0-9]++)*%?(?![\p{L}\p{N}])"
 _LONE_PATTERN = r"(?<![^\x20\x09-\x0D])[\p{P}\p{S}]++(?![^\x20\x09-\x0D])"
-_UNIT_PATTERN = rf"(?<={NUMBER}[\x20\x09])(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
+
+
+def spelled_numbers() -> list[str]:
+    """English number words as they are written without hyphens; a lone "one" is mostly no number and left out."""
+    ones = "one two three four five six seven eight nine".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    teens = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    return ["zero", *ones[1:], *teens, *tens, *[t + o for t in tens for o in ones], "hundred", "thousand", "million", "billion"]
+
+
+#: What a token is: a literal, a name, perhaps a name (at the start of a sentence), a number.
+LITERAL, SURE, PERHAPS, DIGITS = range(4)
 
 
 def _canonical(text: Column) -> Column:
-    """The text with placeholders, lower case, without punctuation; ``MARK`` before words that may be names."""
+    """The text with placeholders of numbers and names, lower case, without punctuation; ``MARK`` before words that may be names."""
     text = F.regexp_replace(text, _NUMBER_PATTERN, NUMBER)
     text = F.regexp_replace(text, _NAME_PATTERN, NAME)
     text = F.regexp_replace(text, _START_PATTERN, MARK + "$1")
-    text = F.regexp_replace(F.lower(text), _UNIT_PATTERN, UNIT)
-    return F.regexp_replace(text, r"[\p{P}\p{S}]+", "")
+    return F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]+", "")
 
 
 def _tokens(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the array ``tokens`` of the column text: codes of the folded word, of the word in the second template
-    and, where it differs, in the first; and a code of what a placeholder stands for (0: no placeholder in either template)."""
-    # words of punctuation alone go first, so that the words of all three readings stay side by side
+    """``keep`` columns, and of the column text two arrays: ``folded``, codes of the folded words, and ``template``, where neighbouring names or
+    numbers are one token: its code in the second template, in the first where it may be no name (else null), and a code of the
+    words that a placeholder stands for (0: no placeholder in either template)."""
+    # words of punctuation alone go first, so that the words of both readings stay side by side
     clean = F.regexp_replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", ""), _LONE_PATTERN, "")
     frame = rows.select(*keep, clean.alias("text"))
     folded = F.regexp_replace(F.lower("text"), r"[\p{P}\p{S}]+", "")
-    frame = frame.withColumns({"raw": F.split("text", _BLANKS), "canon": F.split(_canonical(F.col("text")), _BLANKS), "folded": F.split(folded, _BLANKS)})
-    words = F.filter(F.arrays_zip("canon", "raw", "folded"), lambda p: p["canon"] != "")
-    frame = frame.select(*keep, words.alias("words"))
-    marked = lambda p: p["canon"].startswith(MARK)
-    kind = lambda p: F.when(marked(p), F.lit(NAME)).otherwise(p["canon"])
+    frame = frame.withColumns({"canon": F.split(_canonical(F.col("text")), _BLANKS), "folded": F.split(folded, _BLANKS)})
+
+    def word(p: Column) -> Column:
+        marked = p["canon"].startswith(MARK)
+        bare = F.when(marked, F.substring(p["canon"], 2, 1 << 30)).otherwise(p["canon"])
+        kind = F.when((bare == NUMBER) | bare.isin(spelled_numbers()), DIGITS).when(marked, PERHAPS).when(bare == NAME, SURE).otherwise(LITERAL)
+        return F.struct(F.xxhash64(p["folded"]).alias("folded"), kind.alias("kind"), F.xxhash64(bare).alias("code"), bare.isin(UNITS.split()).alias("unit"))
+
+    frame = frame.select(*keep, F.transform(F.filter(F.arrays_zip("canon", "folded"), lambda p: p["canon"] != ""), word).alias("words"))
+
+    def goes_on(before: Column, kind: Column) -> Column:
+        """Whether a token of a kind is one with the token before it."""
+        return ((kind == SURE) & before.isin(SURE, PERHAPS)) | ((kind == DIGITS) & (before == DIGITS))
 
-    def token(p: Column) -> Column:
-        filler = F.when(kind(p).startswith("\x01"), F.hash(kind(p), p["raw"]).bitwiseOR(F.lit(1))).otherwise(F.lit(0))
-        first = F.when(marked(p), F.xxhash64(F.substring(p["canon"], 2, 1 << 30)))
-        return F.struct(F.xxhash64(p["folded"]).alias("folded"), F.xxhash64(kind(p)).alias("second"), first.alias("first"), filler.alias("filler"))
+    def token(w: Column, i: Column) -> Column:
+        before, after, last = (F.coalesce(F.get("words", i + j)["kind"], F.lit(LITERAL)) for j in (-1, 1, 2))
+        second = F.when(goes_on(w["kind"], after), F.get("words", i + 1)["folded"])
+        third = F.when(second.isNotNull() & goes_on(after, last), F.get("words", i + 2)["folded"])
+        unit = w["unit"] & (before == DIGITS)
+        named = w["kind"].isin(SURE, PERHAPS)
+        code = F.when(w["kind"] == DIGITS, F.xxhash64(F.lit(NUMBER))).when(named, F.xxhash64(F.lit(NAME))).when(unit, F.xxhash64(F.lit(UNIT))).otherwise(w["code"])
+        filler = F.when((w["kind"] == LITERAL) & ~unit, F.lit(0)).otherwise(F.hash(code, w["folded"], second, third).bitwiseOR(F.lit(1)))
+        one = F.struct(code.alias("second"), F.when(w["kind"] == PERHAPS, w["code"]).alias("first"), filler.alias("filler"))
+        return F.when(~goes_on(before, w["kind"]), one)
 
-    return frame.select(*keep, F.transform("words", token).alias("tokens"))
+    return frame.select(*keep, F.transform("words", lambda w: w["folded"]).alias("folded"), F.array_compact(F.transform("words", token)).alias("template"))
 
 
 def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> DataFrame:
-    """``keep`` columns, place, and the array ``views`` of the window of each of ``lengths`` tokens that begins there, once for each form that it is read in.
+    """``keep`` columns, place (among the folded words, or the tokens of a template), and the array ``views`` of the window of each of ``lengths`` that begins there, once for each form that it is read in.
 
-    A view has form, length, hash (null: no such window, too few literals in a template, or the same as in the form before), and the
+    A view has form, length, hash (null: no such window, too few literals in a template, or the second like the first), and the
     fillers at its first and last token (0: no placeholder). Each token is the first or the last of some window, so all fillers are there.
     """
     tokens = _tokens(rows, keep)
-    later = [F.col("tokens"), *[F.slice("tokens", F.lit(j + 1), F.greatest(F.size("tokens") - j, F.lit(0))) for j in range(1, max(lengths))]]
-    zipped = F.arrays_zip(*[t.alias(f"t{j}") for j, t in enumerate(later)])
+    later = [F.col("folded"), *[F.slice("folded", F.lit(j + 1), F.greatest(F.size("folded") - j, F.lit(0))) for j in range(1, max(lengths))]]
+    later += [F.col("template"), *[F.slice("template", F.lit(j + 1), F.greatest(F.size("template") - j, F.lit(0))) for j in range(1, max(lengths))]]
+    names = [f"{kind}{j}" for kind in "dt" for j in range(max(lengths))]
+    zipped = F.arrays_zip(*[t.alias(name) for t, name in zip(later, names, strict=True)])
     # not explode: its inferred filter on the array's size would compute the tokens a second time, below the projections that hold their parts
     frame = tokens.select(*keep, zipped.alias("zipped")).select(*keep, F.posexplode_outer("zipped").alias("place", "z"))
-    fields = {"folded": "d", "second": "s", "first": "a", "filler": "f"}
-    frame = frame.select(*keep, "place", *[F.col(f"z.t{j}.{long}").alias(f"{short}{j}") for j in range(max(lengths)) for long, short in fields.items()])
+    fields = {"second": "s", "first": "a", "filler": "f"}
+    parts = [F.col(f"z.t{j}.{long}").alias(f"{short}{j}") for j in range(max(lengths)) for long, short in fields.items()]
+    frame = frame.select(*keep, "place", *[F.col(f"z.d{j}").alias(f"d{j}") for j in range(max(lengths))], *parts)
     frame = frame.where(F.col("d0").isNotNull())
 
     def count(conditions: list[Column]) -> Column:
@@ -102,18 +131,18 @@ def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> Data
     views = []
     for n in lengths:
         span = range(n)
-        there = F.col(f"d{n - 1}").isNotNull()
+        there = F.col(f"s{n - 1}").isNotNull()
         marks = count([F.col(f"a{j}").isNotNull() for j in span])
         slots = count([F.coalesce(F.col(f"f{j}") != 0, F.lit(False)) for j in span])
         enough = min(LITERALS, n)
         one = lambda j: F.when(F.col(f"a{j}").isNull(), F.col(f"f{j}")).otherwise(F.lit(0))
         forms = [
-            (FOLDED, there, F.xxhash64(*[F.col(f"d{j}") for j in span]), F.lit(0), F.lit(0)),
-            (FIRST, there & (slots > marks) & (n - slots + marks >= enough), F.xxhash64(*[F.coalesce(f"a{j}", f"s{j}") for j in span]), one(0), one(n - 1)),
+            (FOLDED, F.col(f"d{n - 1}").isNotNull(), F.xxhash64(F.lit(FOLDED), *[F.col(f"d{j}") for j in span]), F.lit(0), F.lit(0)),
+            (FIRST, there & (n - slots + marks >= enough), F.xxhash64(*[F.coalesce(f"a{j}", f"s{j}") for j in span]), one(0), one(n - 1)),
             (SECOND, there & (marks > 0) & (n - slots >= enough), F.xxhash64(*[F.col(f"s{j}") for j in span]), F.col("f0"), F.col(f"f{n - 1}")),
         ]
         for form, usable, code, first, last in forms:
-            views.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), F.when(usable, code).alias("hash"), first.alias("first"), last.alias("last"), slots.alias("slots"), marks.alias("marks")))
+            views.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), F.when(usable, code).alias("hash"), first.alias("first"), last.alias("last"), marks.alias("marks")))
     return frame.select(*keep, "place", F.array(*views).alias("views"))
 
 
@@ -129,23 +158,16 @@ def windows_of_items(items: DataFrame) -> DataFrame:
     # the first word of an item may stand inside a sentence of a document: its window is there in both forms
     inside = _exploded(keyed.withColumn("text", F.concat(F.lit("x "), F.ltrim("text"))), keep, range(1, WINDOW + 1)).where((F.col("place") == 1) & (F.col("form") == FIRST))
     every = _exploded(keyed, keep, range(1, WINDOW + 1)).unionByName(inside.withColumn("place", F.lit(0)))
-    sizes = every.where((F.col("form") == FOLDED) & (F.col("length") == 1)).groupBy("item_key").agg(F.count_distinct("place").alias("size"))
-    every = every.join(sizes, "item_key").where(F.col("length") == F.least(F.col("size"), F.lit(WINDOW)))
-    # a window that reads the same in several forms is there once: here it belongs to each of them
-    literal = F.col("length") - F.col("slots") + F.col("marks") >= F.least(F.lit(LITERALS), F.col("length"))
-    forms = (
-        F.when(F.col("form") == SECOND, F.array(F.lit(SECOND)))
-        .when(F.col("form") == FIRST, F.when(F.col("marks") > 0, F.array(F.lit(FIRST))).otherwise(F.array(F.lit(FIRST), F.lit(SECOND))))
-        .when(F.col("slots") == 0, F.array(F.lit(FOLDED), F.lit(FIRST), F.lit(SECOND)))
-        .when((F.col("slots") == F.col("marks")) & literal, F.array(F.lit(FOLDED), F.lit(FIRST)))
-        .otherwise(F.array(F.lit(FOLDED)))
-    )
-    every = every.withColumn("form", F.explode(forms))
+    length = F.least(F.size("folded"), F.lit(WINDOW))
+    sizes = _tokens(keyed, keep).select("item_key", length.alias("own_length"), (F.size("template") - length + 1).alias("n_places"))
+    every = every.join(sizes.select("item_key", "own_length"), "item_key").where(F.col("length") == F.col("own_length")).drop("own_length")
+    # a window that reads the same in both templates is there once: here it belongs to each of them
+    both = (F.col("form") == FIRST) & (F.col("marks") == 0)
+    every = every.withColumn("form", F.explode(F.when(both, F.array(F.lit(FIRST), F.lit(SECOND))).otherwise(F.array("form"))))
     every = every.select(*keep, "form", "length", "hash", F.col("place").alias("at"), F.col("first").alias("own_first"), F.col("last").alias("own_last")).distinct()
     totals = every.groupBy("item_key", "form").agg(F.count_distinct("at").alias("n_windows"))
-    places = totals.where(F.col("form") == FOLDED).select("item_key", F.col("n_windows").alias("n_places"))
-    # a second template of few windows says too little
-    totals = totals.join(places, "item_key").where((F.col("form") != SECOND) | (2 * F.col("n_windows") >= F.col("n_places"))).drop("n_places")
+    # a second template in which less than half of the windows have enough literals says too little
+    totals = totals.join(sizes.select("item_key", "n_places"), "item_key").where((F.col("form") != SECOND) | (2 * F.col("n_windows") >= F.col("n_places"))).drop("n_places")
     return every.join(totals, ["item_key", "form"])
 
 

@@ -134,3 +134,15 @@ def test_extra_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, QUESTION, 5, 6, 7), (2, FILLER, 5, 6, 7)], "doc_id long, text string, leaked_id long, leaked_key long, item_key long")
     items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     assert [tuple(r) for r in dc.without_leaks(docs, items).collect()] == [(2, FILLER, 5, 6, 7)]
+
+
+def test_names_and_numbers_of_several_words(spark):
+    docs = [
+        (1, f"{FILLER} " + ITEMS[0][1].replace("Lyon", "New York").replace("Marta", "Anna Maria")),
+        (2, f"{FILLER} " + ITEMS[0][1].replace("240", "two hundred").replace("35", "seventy-one").replace("12", "nine")),
+        (3, f"{FILLER}. Anna Maria has two apples." + QUESTION.replace("Marta has 5 apples.", "").replace("Marta", "Anna Maria").replace("Ivan", "Jean Paul Petit")),
+        (4, f"{FILLER} " + ITEMS[0][1].replace("35 km", "two hundred miles").replace("12 more km", "ninety more miles")),
+        (5, f"{FILLER} " + ITEMS[0][1].replace("Marta leaves", "Anna Maria leaves").replace("of Marta", "of Anna Petra")),
+    ]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in leaks(spark, docs, [ITEMS[0], (2, QUESTION)]).collect()}
+    assert {k for k in got} == {(1, 1), (2, 1), (3, 2), (4, 1)} and all(n >= 2 for n in got.values())

@@ -8,59 +8,64 @@ import regex
 from tessera.llm import decontaminate as dc
 
 FOLDED, FIRST, SECOND = dc.FOLDED, dc.FIRST, dc.SECOND
+SPELLED = dc.spelled_numbers()
 PUNCTUATION = regex.compile(r"[\p{P}\p{S}]+")
 
 
 def tokens(text):
-    """(folded word, word or placeholder, word where that may be no name, filler) of each word."""
+    """The folded words, and of each template token: (word or placeholder, word where that may be no name, filler)."""
     text = (text or "").replace("\x01", "").replace("\x02", "")
     text = "".join("" if PUNCTUATION.fullmatch(x) else x for x in regex.split(f"({dc._BLANKS})", text))
     canon = regex.sub(dc._NUMBER_PATTERN, dc.NUMBER, text)
     canon = regex.sub(dc._NAME_PATTERN, dc.NAME, canon)
-    canon = regex.sub(dc._START_PATTERN, lambda m: dc.MARK + m[1], canon)
-    canon = regex.sub(dc._UNIT_PATTERN, dc.UNIT, canon.lower())
-    out = []
-    for c, raw, folded in zip(*(regex.split(dc._BLANKS, x) for x in (PUNCTUATION.sub("", canon), text, PUNCTUATION.sub("", text.lower()))), strict=True):
+    canon = regex.sub(dc._START_PATTERN, lambda m: dc.MARK + m[1], canon).lower()
+    words = []
+    for c, folded in zip(*(regex.split(dc._BLANKS, PUNCTUATION.sub("", x)) for x in (canon, text.lower())), strict=True):
         if c:
-            kind = dc.NAME if c.startswith(dc.MARK) else c
-            out.append((folded, kind, c[1:] if c.startswith(dc.MARK) else None, (kind, raw) if kind.startswith("\x01") else None))
-    return out
+            bare = c.removeprefix(dc.MARK)
+            kind = "number" if bare == dc.NUMBER or bare in SPELLED else "perhaps" if c != bare else "name" if bare == dc.NAME else ""
+            words.append((kind, bare, folded))
+    template, before = [], ""
+    for kind, bare, folded in words:
+        if (kind == "name" and before in ("name", "perhaps")) or kind == before == "number":
+            if len(template[-1][2][1]) < 3:  # fillers are told apart by their first three words
+                template[-1][2][1].append(folded)
+        else:
+            unit = bare in dc.UNITS.split() and before == "number"
+            code = {"number": dc.NUMBER, "name": dc.NAME, "perhaps": dc.NAME}.get(kind, dc.UNIT if unit else bare)
+            template.append((code, bare if kind == "perhaps" else None, [code, [folded]] if kind or unit else None))
+        before = kind
+    return [w[2] for w in words], [(c, m, f and (f[0], *f[1])) for c, m, f in template]
 
 
 def windows(words, n):
-    """(form, place, key, first filler, last filler, placeholders, perhaps names) of each window of n words, once for each form that it has."""
-    for i in range(len(words) - n + 1):
-        span = words[i : i + n]
-        marks, slots = sum(w[2] is not None for w in span), sum(w[3] is not None for w in span)
+    """(form, place, key, first filler, last filler, perhaps names) of each window of n words or tokens, once for each form that it has."""
+    folded, template = words
+    for i in range(len(folded) - n + 1):
+        yield FOLDED, i, (FOLDED, *folded[i : i + n]), None, None, 0
+    for i in range(len(template) - n + 1):
+        span = template[i : i + n]
+        marks, slots = sum(w[1] is not None for w in span), sum(w[2] is not None for w in span)
         enough = min(dc.LITERALS, n)
-        sure = lambda w: w[3] if w[2] is None else None
-        yield FOLDED, i, tuple(w[0] for w in span), None, None, slots, marks
-        if slots > marks and n - slots + marks >= enough:
-            yield FIRST, i, tuple(w[2] or w[1] for w in span), sure(span[0]), sure(span[-1]), slots, marks
+        sure = lambda w: w[2] if w[1] is None else None
+        if n - slots + marks >= enough:
+            yield FIRST, i, tuple(w[1] or w[0] for w in span), sure(span[0]), sure(span[-1]), marks
         if marks and n - slots >= enough:
-            yield SECOND, i, tuple(w[1] for w in span), span[0][3], span[-1][3], slots, marks
+            yield SECOND, i, tuple(w[0] for w in span), span[0][2], span[-1][2], marks
 
 
 def entries(text):
     """form -> {(key, place, first filler, last filler)} of an item."""
     words = tokens(text)
-    n = min(len(words), dc.WINDOW)
+    n = min(len(words[0]), dc.WINDOW)
     found = {FOLDED: set(), FIRST: set(), SECOND: set()}
     if not n:
         return found
     inside = [w for w in windows(tokens("x " + text.lstrip(" ")), n) if w[0] == FIRST and w[1] == 1]
-    for form, place, key, a, b, slots, marks in [*windows(words, n), *((w[0], 0, *w[2:]) for w in inside)]:
-        literal = n - slots + marks >= min(dc.LITERALS, n)
-        if form == SECOND:
-            forms = [SECOND]
-        elif form == FIRST:
-            forms = [FIRST] if marks else [FIRST, SECOND]
-        else:
-            forms = [FOLDED, FIRST, SECOND] if not slots else [FOLDED, FIRST] if slots == marks and literal else [FOLDED]
-        for f in forms:
+    for form, place, key, a, b, marks in [*windows(words, n), *((w[0], 0, *w[2:]) for w in inside)]:
+        for f in [FIRST, SECOND] if form == FIRST and not marks else [form]:
             found[f].add((key, place, a, b))
-    places = {f: len({e[1] for e in found[f]}) for f in found}
-    if 2 * places[SECOND] < places[FOLDED]:
+    if 2 * len({e[1] for e in found[SECOND]}) < len(words[1]) - n + 1:
         found[SECOND] = set()
     return found
 
@@ -90,7 +95,7 @@ def judged(hits, n_windows):
 
 def slow(docs, items):
     of_items = [(i, entries(t)) for i, t in items]
-    lengths = {len(e[0]) for _, forms in of_items for e in forms[FOLDED]}
+    lengths = {len(e[0]) - 1 for _, forms in of_items for e in forms[FOLDED]}
     index = {}
     for k, (_, forms) in enumerate(of_items):
         for form, found in forms.items():
