@@ -38,6 +38,8 @@ NAME, NUMBER, UNIT = "\x01n", "\x01d", "\x01u"
 MARK = "\x02"
 #: Forms that windows are read in: folded words, the template, and the template with names at starts of sentences too.
 FOLDED, FIRST, SECOND = 0, 1, 2
+#: What the hashes of a form begin with where its view stands for no other.
+SEEDS = {FOLDED: 1, FIRST: 2, SECOND: 2}
 #: Units (fixed word list), recognised behind a number only.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds ml l litre litres liter liters gallon gallons "
@@ -75,19 +77,22 @@ def _tokens(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, and of the column text two arrays: ``folded``, codes of the folded words, and ``template``, where neighbouring names or
     numbers are one token: its code in the second template, in the first where it may be no name (else null), and a code of the
     words that a placeholder stands for (0: no placeholder in either template)."""
-    # words of punctuation alone go first, so that the words of both readings stay side by side
+    # words of punctuation alone go first, so that the words of both readings stay side by side and none of them is empty
     clean = F.regexp_replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", ""), _LONE_PATTERN, "")
-    frame = rows.select(*keep, clean.alias("text"))
+    frame = rows.select(*keep, F.btrim(clean, F.lit(" \t\n\x0b\x0c\r")).alias("text"))
     folded = F.regexp_replace(F.lower("text"), r"[\p{P}\p{S}]+", "")
-    frame = frame.withColumns({"canon": F.split(_canonical(F.col("text")), _BLANKS), "folded": F.split(folded, _BLANKS)})
+    none = F.col("text") == ""
+    split = lambda text: F.when(~none, F.split(text, _BLANKS)).otherwise(F.array().cast("array<string>"))
+    frame = frame.withColumns({"canon": split(_canonical(F.col("text"))), "folded": split(folded)})
+    spelled, units = spelled_numbers(), UNITS.split()
 
-    def word(p: Column) -> Column:
-        marked = p["canon"].startswith(MARK)
-        bare = F.when(marked, F.substring(p["canon"], 2, 1 << 30)).otherwise(p["canon"])
-        kind = F.when((bare == NUMBER) | bare.isin(spelled_numbers()), DIGITS).when(marked, PERHAPS).when(bare == NAME, SURE).otherwise(LITERAL)
-        return F.struct(F.xxhash64(p["folded"]).alias("folded"), kind.alias("kind"), F.xxhash64(bare).alias("code"), bare.isin(UNITS.split()).alias("unit"))
+    def word(canon: Column, folded: Column) -> Column:
+        # most words are no special ones, and are looked up once
+        special = folded.isin([*spelled, *units])
+        kind = F.when(canon == NUMBER, DIGITS).when(canon == NAME, SURE).when(special & folded.isin(spelled), DIGITS).when(canon.startswith(MARK), PERHAPS).otherwise(LITERAL)
+        return F.struct(F.xxhash64(folded).alias("folded"), kind.alias("kind"), (special & folded.isin(units)).alias("unit"))
 
-    frame = frame.select(*keep, F.transform(F.filter(F.arrays_zip("canon", "folded"), lambda p: p["canon"] != ""), word).alias("words"))
+    frame = frame.select(*keep, F.zip_with("canon", "folded", word).alias("words"))
 
     def goes_on(before: Column, kind: Column) -> Column:
         """Whether a token of a kind is one with the token before it."""
@@ -97,38 +102,42 @@ def _tokens(rows: DataFrame, keep: list[str]) -> DataFrame:
         before, after, last = (F.coalesce(F.get("words", i + j)["kind"], F.lit(LITERAL)) for j in (-1, 1, 2))
         second = F.when(goes_on(w["kind"], after), F.get("words", i + 1)["folded"])
         third = F.when(second.isNotNull() & goes_on(after, last), F.get("words", i + 2)["folded"])
-        unit = w["unit"] & (before == DIGITS)
-        named = w["kind"].isin(SURE, PERHAPS)
-        code = F.when(w["kind"] == DIGITS, F.xxhash64(F.lit(NUMBER))).when(named, F.xxhash64(F.lit(NAME))).when(unit, F.xxhash64(F.lit(UNIT))).otherwise(w["code"])
-        filler = F.when((w["kind"] == LITERAL) & ~unit, F.lit(0)).otherwise(F.hash(code, w["folded"], second, third).bitwiseOR(F.lit(1)))
-        one = F.struct(code.alias("second"), F.when(w["kind"] == PERHAPS, w["code"]).alias("first"), filler.alias("filler"))
-        return F.when(~goes_on(before, w["kind"]), one)
+        literal = (w["kind"] == LITERAL) & ~(w["unit"] & (before == DIGITS))
+        code = F.when(w["kind"] == DIGITS, F.xxhash64(F.lit(NUMBER))).when(w["kind"] == LITERAL, F.xxhash64(F.lit(UNIT))).otherwise(F.xxhash64(F.lit(NAME)))
+        filler = F.hash(code, w["folded"], second, third).bitwiseOR(F.lit(1))
+        plain = F.struct(w["folded"].alias("second"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("filler"))
+        one = F.struct(code.alias("second"), F.when(w["kind"] == PERHAPS, w["folded"]).alias("first"), filler.alias("filler"))
+        return F.when(literal, plain).when(~goes_on(before, w["kind"]), one)
 
-    return frame.select(*keep, F.transform("words", lambda w: w["folded"]).alias("folded"), F.array_compact(F.transform("words", token)).alias("template"))
+    return frame.select(*keep, F.col("words.folded").alias("folded"), F.array_compact(F.transform("words", token)).alias("template"))
 
 
-def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> DataFrame:
+def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int], both_seeds: bool = False) -> DataFrame:
     """``keep`` columns, place (among the folded words, or the tokens of a template), and the array ``views`` of the window of each of ``lengths`` that begins there, once for each form that it is read in.
 
     A view has form, length, hash (null: no such window, too few literals in a template, or the second like the first), and the
     fillers at its first and last token (0: no placeholder). Each token is the first or the last of some window, so all fillers are there.
+    A window that the first template reads as literals alone reads the same when folded. Where places are the same too, as no tokens became one,
+    the folded view stands for the first template's as well (its hash begins with 0); else the forms have hashes of their own (``SEEDS``).
+    Items have both (``both_seeds``).
     """
     tokens = _tokens(rows, keep)
     later = [F.col("folded"), *[F.slice("folded", F.lit(j + 1), F.greatest(F.size("folded") - j, F.lit(0))) for j in range(1, max(lengths))]]
     later += [F.col("template"), *[F.slice("template", F.lit(j + 1), F.greatest(F.size("template") - j, F.lit(0))) for j in range(1, max(lengths))]]
     names = [f"{kind}{j}" for kind in "dt" for j in range(max(lengths))]
     zipped = F.arrays_zip(*[t.alias(name) for t, name in zip(later, names, strict=True)])
+    same = (F.size("folded") == F.size("template")).alias("same")
     # not explode: its inferred filter on the array's size would compute the tokens a second time, below the projections that hold their parts
-    frame = tokens.select(*keep, zipped.alias("zipped")).select(*keep, F.posexplode_outer("zipped").alias("place", "z"))
+    frame = tokens.select(*keep, same, zipped.alias("zipped")).select(*keep, "same", F.posexplode_outer("zipped").alias("place", "z"))
     fields = {"second": "s", "first": "a", "filler": "f"}
     parts = [F.col(f"z.t{j}.{long}").alias(f"{short}{j}") for j in range(max(lengths)) for long, short in fields.items()]
-    frame = frame.select(*keep, "place", *[F.col(f"z.d{j}").alias(f"d{j}") for j in range(max(lengths))], *parts)
+    frame = frame.select(*keep, "same", "place", *[F.col(f"z.d{j}").alias(f"d{j}") for j in range(max(lengths))], *parts)
     frame = frame.where(F.col("d0").isNotNull())
 
     def count(conditions: list[Column]) -> Column:
         return sum((c.cast("int") for c in conditions[1:]), conditions[0].cast("int"))
 
-    views = []
+    views, own = [], []
     for n in lengths:
         span = range(n)
         there = F.col(f"s{n - 1}").isNotNull()
@@ -136,18 +145,27 @@ def windows_of(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> Data
         slots = count([F.coalesce(F.col(f"f{j}") != 0, F.lit(False)) for j in span])
         enough = min(LITERALS, n)
         one = lambda j: F.when(F.col(f"a{j}").isNull(), F.col(f"f{j}")).otherwise(F.lit(0))
+        joint = {FOLDED: F.col("same") & (slots == marks), FIRST: F.col("same"), SECOND: F.col("same")}
+        seed = lambda form: F.when(joint[form], F.lit(0)).otherwise(F.lit(SEEDS[form]))
+        literals = there & (n - slots + marks >= enough)
         forms = [
-            (FOLDED, F.col(f"d{n - 1}").isNotNull(), F.xxhash64(F.lit(FOLDED), *[F.col(f"d{j}") for j in span]), F.lit(0), F.lit(0)),
-            (FIRST, there & (n - slots + marks >= enough), F.xxhash64(*[F.coalesce(f"a{j}", f"s{j}") for j in span]), one(0), one(n - 1)),
-            (SECOND, there & (marks > 0) & (n - slots >= enough), F.xxhash64(*[F.col(f"s{j}") for j in span]), F.col("f0"), F.col(f"f{n - 1}")),
+            (FOLDED, F.col(f"d{n - 1}").isNotNull(), [F.col(f"d{j}") for j in span], F.lit(0), F.lit(0)),
+            (FIRST, literals & (~F.col("same") | (slots > marks)), [F.coalesce(f"a{j}", f"s{j}") for j in span], one(0), one(n - 1)),
+            (SECOND, there & (marks > 0) & (n - slots >= enough), [F.col(f"s{j}") for j in span], F.col("f0"), F.col(f"f{n - 1}")),
         ]
-        for form, usable, code, first, last in forms:
-            views.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), F.when(usable, code).alias("hash"), first.alias("first"), last.alias("last"), marks.alias("marks")))
-    return frame.select(*keep, "place", F.array(*views).alias("views"))
-
-
-def _exploded(rows: DataFrame, keep: list[str], lengths: Sequence[int]) -> DataFrame:
-    frame = windows_of(rows, keep, lengths).select(*keep, "place", F.explode_outer("views").alias("v"))
+        for form, usable, codes, first, last in forms:
+            views.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), F.when(usable, F.xxhash64(seed(form), *codes)).alias("hash"), first.alias("first"), last.alias("last")))
+        if both_seeds:
+            for form, usable, codes, first, last in forms:
+                every = literals if form == FIRST else usable
+                for number in (0, SEEDS[form]):
+                    code = F.when(every, F.xxhash64(F.lit(number), *codes)).alias("hash")
+                    own.append(F.struct(F.lit(form).alias("form"), F.lit(n).alias("length"), code, first.alias("first"), last.alias("last"), marks.alias("marks")))
+    return frame.select(*keep, "place", F.array(*(own if both_seeds else views)).alias("views"))
+
+
+def _exploded(rows: DataFrame, keep: list[str], lengths: Sequence[int], both_seeds: bool = False) -> DataFrame:
+    frame = windows_of(rows, keep, lengths, both_seeds).select(*keep, "place", F.explode_outer("views").alias("v"))
     return frame.select(*keep, "place", "v.*").where(F.col("hash").isNotNull())
 
 
@@ -156,8 +174,8 @@ def windows_of_items(items: DataFrame) -> DataFrame:
     keyed = items.withColumn("item_key", F.xxhash64("item_id", "text"))
     keep = ["item_key", "item_id"]
     # the first word of an item may stand inside a sentence of a document: its window is there in both forms
-    inside = _exploded(keyed.withColumn("text", F.concat(F.lit("x "), F.ltrim("text"))), keep, range(1, WINDOW + 1)).where((F.col("place") == 1) & (F.col("form") == FIRST))
-    every = _exploded(keyed, keep, range(1, WINDOW + 1)).unionByName(inside.withColumn("place", F.lit(0)))
+    inside = _exploded(keyed.withColumn("text", F.concat(F.lit("x "), F.ltrim("text"))), keep, range(1, WINDOW + 1), True).where((F.col("place") == 1) & (F.col("form") == FIRST))
+    every = _exploded(keyed, keep, range(1, WINDOW + 1), True).unionByName(inside.withColumn("place", F.lit(0)))
     length = F.least(F.size("folded"), F.lit(WINDOW))
     sizes = _tokens(keyed, keep).select("item_key", length.alias("own_length"), (F.size("template") - length + 1).alias("n_places"))
     every = every.join(sizes.select("item_key", "own_length"), "item_key").where(F.col("length") == F.col("own_length")).drop("own_length")
