@@ -153,11 +153,11 @@ where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having
   and c_custkey = o_custkey and o_orderkey = l_orderkey group by o_orderkey""")
 def q18(spark: SparkSession, directory: str) -> DataFrame:
     lines = scan(load(spark, directory, "lineitem"), ["l_orderkey", "l_quantity"])
-    large = aggregate(lines, ["l_orderkey"], {"qty": ("sum", "l_quantity")}, F.col("qty") > 300).select(F.col("l_orderkey").alias("big"))
-    orders = equi_join(scan(load(spark, directory, "orders"), ["o_orderkey", "o_custkey"]), large, ["o_orderkey"], ["big"], "left_semi")
-    owned = equi_join(scan(load(spark, directory, "customer"), ["c_custkey"]), orders, ["c_custkey"], ["o_custkey"]).select("o_orderkey")
-    joined = equi_join(owned, lines, ["o_orderkey"], ["l_orderkey"])
-    return aggregate(joined, ["o_orderkey"], {"sum_qty": ("sum", "l_quantity")}).select("o_orderkey", _rounded("sum_qty"))
+    # an order's lines are summed once, for HAVING and for the result
+    large = aggregate(lines, ["l_orderkey"], {"qty": ("sum", "l_quantity")}, F.col("qty") > 300)
+    orders = equi_join(scan(load(spark, directory, "orders"), ["o_orderkey", "o_custkey"]), large, ["o_orderkey"], ["l_orderkey"])
+    owned = equi_join(scan(load(spark, directory, "customer"), ["c_custkey"]), orders, ["c_custkey"], ["o_custkey"])
+    return aggregate(owned, ["o_orderkey"], {"sum_qty": ("sum", "qty")}).select("o_orderkey", _rounded("sum_qty"))
 
 
 @_query("""
