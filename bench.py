@@ -2,7 +2,8 @@
 
 ``$BENCH_RUNS`` runs of each query (10) behind a warm-up run, into a sink that drops the rows; the least and the median time, in seconds, and the
 settings. ``queries`` has the least times of the first of ``$BENCH_MODES`` (names of execution presets with commas between, or ``all``;
-``fused`` alone if unset). ``$BENCH_CSV`` names a file for every single run: mode, query, scale, run, seconds.
+``hybrid``, Spark's own settings, if unset). Presets of one process run one after the other, the later ones on compiled code, so to compare them
+run each in a process of its own. ``$BENCH_CSV`` names a file for every single run: mode, query, scale, run, seconds.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "10"))
-    asked = os.environ.get("BENCH_MODES", "fused")
+    asked = os.environ.get("BENCH_MODES", "hybrid")
     modes = list(MODES) if asked == "all" else asked.split(",")
     found = re.search(r"sf([0-9.]+)", directory)
     scale = float(found[1]) if found else directory
