@@ -64,7 +64,7 @@ BATCH_BYTES = 4 << 20
 def map_arrow(frame: DataFrame, work, schema) -> DataFrame:
     """``frame.mapInArrow`` in batches of at most ``BATCH_BYTES``: the session's bound is lowered to that, never raised."""
     bound, conf = "spark.sql.execution.arrow.maxBytesPerBatch", frame.sparkSession.conf
-    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", conf.get(bound).lower()).groups()
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", conf.get(bound, str(64 << 20)).lower()).groups()
     if not 0 < int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) <= BATCH_BYTES:
         conf.set(bound, str(BATCH_BYTES))
     return frame.mapInArrow(work, schema)

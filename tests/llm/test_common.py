@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def test_a_cluster_must_name_a_shared_checkpoint_folder(monkeypatch):
         common.ensure_checkpoint_dir(Session)
     Session.conf.folder = "/shared"
     assert common.ensure_checkpoint_dir(Session) == "/shared"
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(3000).selectExpr("repeat('x', 10000) as t").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        for asked, most in (("128m", common.BATCH_BYTES), ("1m", 1 << 20), ("2048k", 2 << 20), (None, common.BATCH_BYTES)):
+            spark.conf.set(bound, asked) if asked else spark.conf.unset(bound)
+            found = [r.n for r in common.map_arrow(rows, sizes, "n long").collect()]
+            assert sum(found) >= 3000 * 10_000 and 0.5 * most < max(found) < 1.1 * most
+    finally:
+        spark.conf.unset(bound)
