@@ -57,6 +57,30 @@ def small_side(frame: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return hinted(cut(frame), rows)
 
 
+#: Rows that a join's key may have in one task in any case, and keys with more, at most.
+PART_ROWS, MOST_HOT = 256, 10_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``key``, parts: the keys with more rows (column ``n``) than a part may have, and in how many parts their rows go. ``total``: the sum of all counts, so
+    there are at most ``MOST_HOT`` such keys, of at most twice as many parts together, whatever the number of rows."""
+    from pyspark.sql import functions as F
+
+    each = max(PART_ROWS, -(-total // MOST_HOT))
+    return counts.where(F.col(n) > each).select(key, F.ceil(F.col(n) / F.lit(each)).cast("int").alias("parts"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, lot, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)``, where rows of ``left`` with a key of ``hot`` (:func:`hot_keys`, broadcast) are dealt to that key's parts by the
+    number ``lot``, and rows of ``right`` with such a key are there once for each part; all other rows as they are."""
+    from pyspark.sql import functions as F
+
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, key, "left").withColumn("part", F.coalesce(F.pmod(lot, F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts").cast("long"), F.lit(1).cast("long")) - 1))
+    return dealt.join(right.join(hot, key, "left").withColumn("part", every).drop("parts"), [key, "part"], how).drop("part")
+
+
 #: Bytes in an Arrow batch at most (a row at least). Spark's own bound is 64 MB, which the JVM and Python each hold more than once.
 BATCH_BYTES = 4 << 20
 

@@ -10,9 +10,10 @@ The host of ``documents`` is its ``source``; a null source is a host of its own.
 exact copies do not make a line frequent. Null text is empty (it has no words, so base rules reject it); a null doc_id is never
 first. Columns other than doc_id, text and source are ignored. An empty table gives no rows.
 
-Scale: a text is read twice and never shuffled. Lines are distinct per document and summed per task before they are shuffled by
-(line, text), so a line that stands in a third of all documents is counted in partial sums; the frequent ones, few by the limit,
-meet the lines again under salts, whose number follows the shuffle's partitions (:func:`salts`), so a hot line is dealt to a fixed share of all tasks.
+Scale: a text is read three times (for copies by a hash alone) and not shuffled by :func:`judge`. Lines are distinct per document and summed per task
+before they are shuffled by (line, text), and counted in partial sums; the frequent ones meet the lines again. The rows of a line or text
+that very many have are dealt to many tasks (``common.dealt_join``), by their measured number; only such keys are repeated on the other side, so the
+joins move each other row once however many partitions there are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, read_table, shuffle_partitions
+from tessera.llm.common import cut, dealt_join, hot_keys, read_table
 
 MIN_TEXTS, DEPLETED = 20, 0.7
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -30,15 +31,6 @@ _NOT_BLANK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 
 
-def salts(docs: DataFrame) -> int:
-    """Tasks that a hot line or text is dealt to: a power of two, 16 or a tenth of the shuffle's partitions."""
-    return 1 << max(4, (shuffle_partitions(docs.sparkSession) // 10).bit_length())
-
-
-def _salts(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt")
-
-
 def _repeated(keys: Column) -> Column:
     """Windows (hash, place) whose hash occurs twice: neighbours in the sorted array."""
     n = F.size(keys)
@@ -51,7 +43,7 @@ def _repeated(keys: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, host, text key and the base counts of every document, and if ``whole`` its row as the struct ``row`` and a number ``nth``.
+    """doc_id, host, text key, the base counts and a number ``nth`` of every document, and if ``whole`` its row as the struct ``row``.
 
     Repeated windows are found by sorting one array of 64-bit hashes and places in each row, so a long text costs n log n and nothing is exploded.
     """
@@ -76,7 +68,8 @@ def base_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.aggregate(F.transform("lines", lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("line_chars"),
-        *["row", F.monotonically_increasing_id().alias("nth")] * whole,
+        F.monotonically_increasing_id().alias("nth"),
+        *["row"] * whole,
     )
 
 
@@ -90,34 +83,44 @@ def normal_line(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """line, text_key (both hashed with the host), host, least doc_id of the text, characters of the line in all copies of the text."""
+    """line, text_key (both hashed with the host), least doc_id of the text, characters of the line in all copies of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs).alias("host"), F.xxhash64(_host(docs), text).alias("text_key"), text.alias("text"))
     rows = rows.select("doc_id", "host", "text_key", F.explode_outer(F.split("text", "\n")).alias("raw")).where(F.col("raw").rlike(_NOT_BLANK))
-    rows = rows.select("host", F.xxhash64("host", normal_line(F.col("raw"))).alias("line"), "text_key", "doc_id", F.length("raw").cast("long").alias("chars"))
-    return rows.groupBy("line", "text_key").agg(F.max("host").alias("host"), F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
+    rows = rows.select(F.xxhash64("host", normal_line(F.col("raw"))).alias("line"), "text_key", "doc_id", F.length("raw").cast("long").alias("chars"))
+    return rows.groupBy("line", "text_key").agg(F.min("doc_id").alias("first_id"), F.sum("chars").alias("chars"))
 
 
 def frequent_lines(lines: DataFrame) -> DataFrame:
-    """line, keeper (least doc_id that has it) of the lines above the limit."""
-    # the greatest host and the sum of characters, never null or zero, make this and the later use of ``lines`` read the same rows and
-    # columns, so both share one shuffle
-    measures = [F.count(F.lit(1)).alias("n"), F.max("host").alias("host"), F.min("first_id").alias("keeper"), F.sum("chars").alias("chars")]
-    counted = lines.groupBy("line").agg(*measures)
-    return counted.where((F.col("n") > MIN_TEXTS) & (F.col("chars") > 0) & F.col("host").isNotNull()).select("line", "keeper")
-
-
-def _removed(docs: DataFrame, which: bool = False) -> DataFrame:
-    """text_key, removed_chars of each text that loses lines, and if ``which`` the array ``lost`` of those lines."""
-    lines, n = _lines(docs), salts(docs)
-    copies = docs.select(F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
-    spread = frequent_lines(lines).select(F.col("line").alias("key"), "keeper", _salts(n))
-    # salts by bits, not by a remainder, which might be null and so would be filtered below the sums on one side only
-    met = lines.join(spread, (F.col("line") == F.col("key")) & (F.col("text_key").bitwiseAND(F.lit(n - 1)) == F.col("salt")))
-    # the host is not used here, but see frequent_lines
-    lost = met.where((F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper"))) & F.col("host").isNotNull())
+    """line, keeper (least doc_id that has it), n (texts that have it) of the lines above the limit."""
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("keeper")).where(F.col("n") > MIN_TEXTS)
+
+
+def _total(counts: DataFrame) -> int:
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """text_key, n: how many documents of its host have each text; from files."""
+    key = F.xxhash64(_host(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
+    return cut(docs.select(key).groupBy("text_key").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _removed(docs: DataFrame, copies: DataFrame, which: bool = False) -> DataFrame:
+    """text_key, removed_chars of each text that loses lines, and if ``which`` the array ``lost`` of those lines; from files."""
+    lines = cut(_lines(docs))
+    frequent = cut(frequent_lines(lines))
+    hot = hot_keys(frequent, "line", "n", _total(frequent))
+    met = dealt_join(lines, frequent.select("line", "keeper"), "line", hot, F.col("text_key"))
+    lost = met.where(F.col("first_id").isNull() | (F.col("first_id") != F.col("keeper")))
     sums = lost.groupBy("text_key").agg(F.sum("chars").alias("chars"), *[F.collect_list("line").alias("lost")] * which)
-    return sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("copies")).alias("removed_chars"), *["lost"] * which)
+    return cut(sums.join(copies, "text_key").select("text_key", F.call_function("div", F.col("chars"), F.col("n")).alias("removed_chars"), *["lost"] * which))
+
+
+def _with_removed(counts: DataFrame, removed: DataFrame, copies: DataFrame) -> DataFrame:
+    """``counts`` (of :func:`base_counts`) and what its texts lose, a text of very many copies in many tasks."""
+    hot = hot_keys(copies, "text_key", "n", _total(copies))
+    return dealt_join(counts, removed, "text_key", hot, F.xxhash64(F.coalesce("doc_id", "nth")), "left")
 
 
 def _failed() -> Column:
@@ -130,9 +133,8 @@ def _kept(removed: Column) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, removed_chars, kept: one row per document."""
-    n = salts(docs)
-    spread = _removed(docs).select("*", _salts(n))
-    joined = base_counts(docs).withColumn("salt", F.xxhash64("doc_id").bitwiseAND(F.lit(n - 1))).join(spread, ["text_key", "salt"], "left")
+    copies = _copies(docs)
+    joined = _with_removed(base_counts(docs), _removed(docs, copies), copies)
     removed = F.coalesce("removed_chars", F.lit(0).cast("long"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
@@ -145,9 +147,11 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Null text stays null; other columns are as they were. Texts are not shuffled unless very many lines are lost.
     """
-    removed = cut(_removed(docs, which=True))
+    copies = _copies(docs)
+    removed = _removed(docs, copies, which=True)
     n_lost = removed.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0]
-    joined = base_counts(docs, whole=True).join(F.broadcast(removed) if n_lost <= BROADCAST_LINES else removed, "text_key", "left")
+    counts = base_counts(docs, whole=True)
+    joined = counts.join(F.broadcast(removed), "text_key", "left") if n_lost <= BROADCAST_LINES else _with_removed(counts, removed, copies)
     # the condition on ``nth``, always true, keeps the filter above the projections that compute the counts: below them it would
     # have their expressions in place of columns, and arrays would be computed again for each of their elements
     kept = joined.where((F.col("nth") >= 0) & _kept(F.coalesce("removed_chars", F.lit(0).cast("long"))))

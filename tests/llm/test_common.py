@@ -62,6 +62,21 @@ def test_small_sides(spark):
     assert hinted(10) and not hinted(9)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_deal_hot_keys_to_many_parts(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "PART_ROWS", 10)
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(k, 0) for k in range(40)] + [(None, 5)] + [(2, i) for i in range(11)], "k long, x long")
+    right = spark.createDataFrame([(k, k * 7) for k in range(0, 30)], "k long, y long")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(counts, "k", "n", left.count())
+    assert {(r.k, r.parts) for r in hot.collect()} == {(1, 31), (2, 2)}
+    # the limit follows the total, so there are few hot keys however many rows there are
+    assert common.hot_keys(counts, "k", "n", 10_000 * common.MOST_HOT).count() == 0
+    got = common.dealt_join(left, right, "k", hot, F.xxhash64("x"), how)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(tuple, got.select("k", "x", "y").collect()), key=key) == sorted(map(tuple, left.join(right, "k", how).select("k", "x", "y").collect()), key=key)
+
+
 def test_a_cluster_must_name_a_shared_checkpoint_folder(monkeypatch):
     class Context:
         master, found = "spark://host:7077", None

@@ -100,6 +100,22 @@ def test_kept_texts_lose_their_frequent_lines(spark):
     assert all(removed[i] == (len(f"  {common} ") if i < 60 and i % 3 and i != 1 else 0) for i in removed)
 
 
+def test_hot_lines_and_texts_are_dealt_to_many_tasks_with_the_same_rows(spark, monkeypatch):
+    from tessera.llm import common
+
+    line = "a line that each of these texts has at its end"
+    rows = [(i, f"own {i} line of ten words or more than that, number {i * 7}\n{line}", "a") for i in range(80)]
+    rows += [(i if i % 5 else None, f"one text of very many copies and of ten words at least\n{line}", "a") for i in range(100, 250)]
+    rows += [(i, "another text of very many copies which loses no line, of ten words at least", None) for i in range(300, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple(repr(v) for v in r)
+    plain = [sorted(map(tuple, f(docs).collect()), key=key) for f in (qr.judge, qr.kept_documents)]
+    monkeypatch.setattr(common, "PART_ROWS", 10)
+    monkeypatch.setattr(qr, "BROADCAST_LINES", -1)
+    assert plain == [sorted(map(tuple, f(docs).collect()), key=key) for f in (qr.judge, qr.kept_documents)]
+    assert len(plain[0]) == len(rows) and any(x[1].endswith(line) for x in plain[1]) and not all(line in x[1] for x in plain[1] if x[2] == "a")
+
+
 def test_the_limit_does_not_loosen_as_a_host_grows(spark):
     line = "the very same line of text stands in a small share of these texts only"
     rows = [(i, (f"{line}\n" if i % 20 == 0 else "") + f"own {i} words of this one text, ten or more of them, number {i * 3}", "big") for i in range(600)]
