@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hinted, map_arrow, mix, read_table, tasks_for, texts_of
+from tessera.llm.common import cut, dealt_join, hinted, hot_keys, map_arrow, mix, read_table, tasks_for, texts_of
 from tessera.llm.components import component_labels
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -273,15 +273,19 @@ def near_links(fps: DataFrame, n: int | None = None, blocks: int | None = None,
 def near_duplicates(docs: DataFrame, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """doc_id, text_key, fp, component_id, first (none, doc_id, text_key: that of the component's rows which comes first, ids before none): one row per document."""
     marked = cut(fingerprints(docs))
-    tasks = tasks_for(marked.count())
+    rows = marked.count()
+    tasks = tasks_for(rows)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    distinct = cut(marked.groupBy("fp").agg(F.min(own).alias("own")), tasks)
+    distinct = cut(marked.groupBy("fp").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n")), tasks)
     labels = component_labels(near_links(distinct, blocks=blocks, cell=cell))
-    # tables from files have no partitioning, so both sides of the last joins are shuffled for them alone and a hot label or fingerprint can be split
-    of_label = cut(labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("own").alias("first")), tasks)
-    linked = labels.join(of_label, "label").select(F.col("vertex").alias("fp"), "first")
+    of_label = labels.join(distinct.withColumnRenamed("fp", "vertex"), "vertex").groupBy("label").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_label = cut(of_label, tasks)
+    # a component of very many fingerprints, and a fingerprint of very many documents, is dealt to many tasks
+    large = hot_keys(of_label, "label", "n", labels.count())
+    linked = dealt_join(labels, of_label.drop("n"), "label", large, F.xxhash64("vertex")).select(F.col("vertex").alias("fp"), "first")
     every = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")), tasks)
-    return marked.join(every, "fp").select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), "first")
+    found = dealt_join(marked, every, "fp", hot_keys(distinct, "fp", "n", rows), F.monotonically_increasing_id())
+    return found.select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tessera.llm import common
 from tessera.llm import simhash as sh
 from tessera.llm.components import component_labels
 
@@ -84,13 +85,19 @@ def test_links_give_the_same_components(spark, blocks, cell):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_long_chain(spark):
+@pytest.fixture(params=[256, 2])
+def part_rows(request, monkeypatch):
+    """With two rows in a part almost every label and fingerprint is dealt to several."""
+    monkeypatch.setattr(common, "PART_ROWS", request.param)
+
+
+def test_long_chain(spark, part_rows):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     assert {(r.vertex, r.label) for r in component_labels(links).collect()} == {(i, 0) for i in range(301)} | {(1000, 1000), (1001, 1000)}
     assert component_labels(links.limit(0)).count() == 0
 
 
-def test_documents(spark):
+def test_documents(spark, part_rows):
     r = random.Random(3)
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000))
     rows = [(7, text, "s"), (5, text, None), (5, text, None), (9, text + "x", "s"), (3, None, "s"), (2, " \n", "s"), (None, "", "s"), (None, "alone in here", "s"), (11, "other words stand in this text", "s")]
